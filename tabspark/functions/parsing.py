@@ -101,7 +101,7 @@ ZIP_FIELDS = T.StructType([T.StructField("country", T.StringType()), T.StructFie
 
 
 def _zip(text: Column) -> Column:
-    digits = F.transform(F.split(text, "(?!^)"), lambda c: c.try_cast("int"))
+    digits = F.transform(F.split(text, ""), lambda c: c.try_cast("int"))
     us = F.struct(F.lit("US").alias("country"), digits.alias("digits"), F.lit(None).cast("string").alias("text"))
     world = F.struct(F.lit("World").alias("country"), F.lit(None).cast("array<int>").alias("digits"), text.alias("text"))
     return F.when(F.char_length(text) == 5, F.when(text.rlike(r"\A[0-9]{5}\z"), us).otherwise(world))

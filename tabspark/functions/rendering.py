@@ -34,13 +34,13 @@ def show_literal(value: Column, kind: T.DataType) -> Column:
     # Characters with an escape of their own.
     named = {"\a": "a", "\b": "b", "\t": "t", "\n": "n", "\v": "v", "\f": "f", "\r": "r", '"': '"', "\\": "\\"}
     escapes = F.create_map(*[F.lit(x) for c, name in named.items() for x in (c, "\\" + name)])
-    mark = ""  # after a numbered escape; kept as an empty escape where a digit follows
+    mark = "\ue000"  # after a numbered escape; kept as an empty escape where a digit follows
 
     def one(c: Column) -> Column:
         code = F.ascii(c)
         return F.when(F.map_contains_key(escapes, c), F.element_at(escapes, c)).when((code > 126) | (code < 32), F.concat(F.lit("\\"), code.cast("string"), F.lit(mark))).otherwise(c)
 
-    inner = F.array_join(F.transform(F.split(value, "(?!^)"), one), "")
-    inner = F.regexp_replace(F.regexp_replace(inner, f"{mark}(?=[0-9])", r"\\\\&"), mark, "")
+    inner = F.array_join(F.transform(F.split(value, ""), one), "")
+    inner = F.regexp_replace(F.regexp_replace(inner, f"{mark}(?=[0-9])", r"\\&"), mark, "")
     plain = value.rlike(r'\A[ !#-\[\]-~]*\z')
     return F.concat(F.lit('"'), F.when(plain, value).otherwise(inner), F.lit('"'))

@@ -27,7 +27,7 @@ def tokens_of(line: Column, options: ParserOptions) -> Column:
         return F.split(line, sep, -1)
     mark = options.quoting.quote
     q, end = _literal(mark), rf"(?={sep}|\z)"
-    pattern = rf"(?s)(?:\A|{sep})({q}{end}|{q}.*?{q}{end}|{q}.*\z|(?!{q}).*?{end})"
+    pattern = rf"(?s){sep}({q}{end}|{q}.*?{q}{end}|{q}.*\z|(?!{q}).*?{end})"
 
     def finish(token: Column) -> Column:
         inner = F.substring(token, F.lit(2), F.length(token))
@@ -35,4 +35,5 @@ def tokens_of(line: Column, options: ParserOptions) -> Column:
         bare = F.when(token.rlike(r"(?U)\A\s|\s\z"), F.regexp_replace(token, r"(?U)\A\s+|\s+\z", "")).otherwise(token)
         return F.when(token.startswith(mark), F.replace(inner, F.lit(mark * 2), F.lit(mark))).otherwise(bare)
 
-    return F.transform(F.regexp_extract_all(line, F.lit(pattern), F.lit(1)), finish)
+    # With a separator in front every token has one, so no match is empty.
+    return F.transform(F.regexp_extract_all(F.concat(F.lit(options.separator), line), F.lit(pattern), F.lit(1)), finish)
