@@ -54,8 +54,9 @@ def divide(tokenizer, text: str, chunk: int, overlap: int) -> list[str]:  # noqa
     """The text in pieces that start at true pre-token boundaries.
 
     A boundary is true where the chunk before, true from its own first shared boundary on, has it too, with at least two
-    characters of that chunk left (what follows decides where white space ends). Chunks that share none are joined to the
-    chunk before, which then goes on from its last true boundary.
+    characters of that chunk left. It is cut only after a character that is no white space, since what follows white space
+    decides how it is split. Chunks that share no such boundary are joined to the chunk before, which then goes on from its
+    last true boundary.
     """
     if len(text) <= chunk + overlap:
         return [text]
@@ -64,10 +65,11 @@ def divide(tokenizer, text: str, chunk: int, overlap: int) -> list[str]:  # noqa
     cuts, known = [0], found[0]
     for n in range(1, len(begins)):
         end = min(begins[n - 1] + chunk + overlap, len(text))
-        shared = np.intersect1d(known[(known >= begins[n]) & (known < end - 2)], found[n])
-        if len(shared):
-            cuts.append(int(shared[0]))
-            known = found[n][found[n] >= shared[0]]
+        shared = np.intersect1d(known[(known >= max(begins[n], 1)) & (known < end - 2)], found[n])
+        cut = next((int(b) for b in shared if not text[b - 1].isspace()), None)
+        if cut is not None:
+            cuts.append(cut)
+            known = found[n][found[n] >= cut]
         else:
             last = int(known[known < end - 2][-1]) if (known < end - 2).any() else cuts[-1]
             stop = min(begins[n] + chunk + overlap, len(text))
