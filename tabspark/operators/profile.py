@@ -80,10 +80,12 @@ def induce_expressions(values: DataFrame) -> DataFrame:
     ``values`` has column_name and value. A column's code is a set of expressions, each paid once, and each value by the
     number of its expression and its characters under it. For all shapes that differ only in run lengths, one loose
     expression is weighed against a tight one for each, and each tight one against leaving the values as any text (no
-    expression: such values do not conform). Nothing is collected: costs are sums over shapes. No values, no rows.
+    expression: such values do not conform). Nothing is collected: costs are sums over shapes. No values, no rows. A column
+    ``shape`` that is there already is used.
     """
-    distinct = values.where("value is not null").select("column_name", "value").distinct()
-    shapes = distinct.groupBy("column_name", shape_of(F.col("value")).alias("shape")).agg(F.count(F.lit(1)).alias("d"))
+    shape = F.col("shape") if "shape" in values.columns else shape_of(F.col("value"))
+    distinct = values.where("value is not null").select("column_name", "value", shape.alias("shape")).distinct()
+    shapes = distinct.groupBy("column_name", "shape").agg(F.count(F.lit(1)).alias("d"))
     costs = _shape_costs(F.col("shape"))
     shapes = shapes.select("*", loosened(F.col("shape")).alias("loose"), *[c.alias(k) for k, c in costs.items()])
     totals = shapes.groupBy("column_name").agg(F.sum("d").alias("total"))
@@ -112,14 +114,14 @@ class LoadProfile:
 
     def __init__(self, df: DataFrame, feed: str, load: str, columns: list[str], stated: dict[str, str] | None = None, numeric: list[str] | None = None):
         self.stated, self.numeric = stated or {}, columns if numeric is None else numeric
-        # Written once: it is read for shapes, ranges, medians and distances, each with other filters.
-        self.counts = cut_lineage(value_counts(df, [feed, load], columns))
         number = F.col("column_name").isin(self.numeric) & F.col("value").rlike(NUMBER)
-        self.values = self.counts.withColumn("shape", shape_of(F.col("value"))).withColumn("number", F.when(number, F.col("value").try_cast("double")))
+        counts = value_counts(df, [feed, load], columns)
+        # Written once: it is read for shapes, ranges, medians and distances, each with other filters.
+        self.values = cut_lineage(counts.withColumn("shape", shape_of(F.col("value"))).withColumn("number", F.when(number, F.col("value").try_cast("double"))))
 
     def expressions(self) -> DataFrame:
         """(column_name, shape, expression) over all loads, see induce_expressions."""
-        return induce_expressions(self.counts)
+        return induce_expressions(self.values)
 
     def summary(self) -> DataFrame:
         """(feed, load, column_name, n_rows, n_missing, n_distinct, n_ill, n_conforming, minimum, maximum, has_negative).
@@ -148,7 +150,7 @@ class LoadProfile:
         differences between a load's shares and those of the load before; both whole numbers."""
         rows = self.values.where(F.col("column_name").isin(columns) & F.col("value").isNotNull()).select("k0", "k1", "column_name", "value", "n")
         order = Window.partitionBy("k0", "column_name").orderBy("k1")
-        loads = self.counts.where(F.col("column_name").isin(columns)).groupBy("k0", "k1", "column_name").agg(F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)).alias("own"))
+        loads = self.values.where(F.col("column_name").isin(columns)).groupBy("k0", "k1", "column_name").agg(F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)).alias("own"))
         loads = loads.select("*", F.lag("own").over(order).alias("before"), F.lead("own").over(order).alias("after"), F.lead("k1").over(order).alias("next"), F.lead(F.lit(1)).over(order).alias("has_next"))
         joined = salted_join(rows, loads, ["k0", "k1", "column_name"], F.col("value"), 8)
         as_own = F.struct(F.col("k1").alias("load"), F.col("n").alias("now"), F.lit(0).cast("bigint").alias("then"), F.col("own").alias("total"), F.col("before").alias("was"))
