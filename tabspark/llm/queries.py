@@ -76,7 +76,18 @@ QUERIES: dict[str, Query] = {
     f.__name__: f for f in (p2_percentiles, p2_daily, p4_found, p7_ids, p8_mixture, p8_shares, p9_found, p9_share, p9_fertility)
 }
 
+_SHARE_SQL = r"""
+with kept as (select doc_id, regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]', '', 'g') as k from documents),
+stretches as (select doc_id, k, unnest(range(1, length(k) - 28)) as i from kept where length(k) >= 30),
+placed as (select doc_id, i, row_number() over (partition by doc_id, substr(k, i, 30) order by i) as seen from stretches),
+covered as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + 30)) as p from placed where seen > 1) group by doc_id)
+select doc_id, length(k) as kept_chars, coalesce(n, 0) as repeated_chars, case when length(k) > 0 then coalesce(n, 0) / length(k) end as repeated_share
+from kept left join covered using (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
+    "p9_share": _SHARE_SQL,
+    "p9_found": f"select distinct doc_id from ({_SHARE_SQL}) where kept_chars > 0 and repeated_chars * 5 >= kept_chars * 2",
     "p4_found": """
 select maker, row_no from (
   select lower(trim(manufacturer, ' ')) as maker, row_no,
