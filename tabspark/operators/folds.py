@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabspark.session import quoted
+
 BRANCHES = 64
 
 
@@ -69,6 +71,11 @@ def run(df: DataFrame, **folds: Fold) -> DataFrame:
     return df.agg(*[fold.column().alias(name) for name, fold in folds.items()])
 
 
+def run_by(df: DataFrame, keys: list[str], **folds: Fold) -> DataFrame:
+    """One row with all results for each group of the keys; null keys are a group. Groups are aggregated before they move."""
+    return df.groupBy(*[quoted(k) for k in keys]).agg(*[fold.column().alias(name) for name, fold in folds.items()])
+
+
 def fold_batches(df: DataFrame, zero: Callable[[], object], step: Callable[[object, pa.RecordBatch], object], merge: Callable[[object, object], object]) -> object:
     """Any fold whose states merge: each partition is folded where it lies, states are merged in a tree, the last few here.
 

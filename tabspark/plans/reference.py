@@ -391,6 +391,12 @@ def fold_where(spark: SparkSession, folder: str) -> DataFrame:
     return folds.run(table(spark, folder, "lineitem"), returned=folds.count().where(back), mean_returned=folds.mean(F.col("l_quantity")).where(back).map(lambda c: F.round(c, 6)))
 
 
+@query("select l_returnflag, l_linestatus, count(*) as n, round(sum(l_quantity), 2) as total, max(l_discount) as top_discount from lineitem group by all")
+def fold_groups(spark: SparkSession, folder: str) -> DataFrame:
+    total = folds.total(F.col("l_quantity")).map(lambda c: F.round(c, 2))
+    return folds.run_by(table(spark, folder, "lineitem"), ["l_returnflag", "l_linestatus"], n=folds.count(), total=total, top_discount=folds.maximum(F.col("l_discount")))
+
+
 @query("select max(length(c_name)) as longest, count(*) as n from customer")
 def fold_custom(spark: SparkSession, folder: str) -> DataFrame:
     def step(state, batch):  # noqa: ANN001, ANN202

@@ -27,12 +27,16 @@ QuotingMode = NoQuoting | RFC4180Quoting
 
 @dataclass(frozen=True)
 class ParserOptions:
-    """``header``: the columns' names, if the file has no header line. ``encoding``: of the file, if not UTF-8."""
+    """``header``: the columns' names, if the file has no header line. ``encoding``: of the file, if not UTF-8.
+
+    With ``ignore_quoting`` the readers of whole files quote by ``"`` whatever ``quoting`` says; parsing lines heeds it.
+    """
 
     header: tuple[str, ...] | None = None
     separator: str = ","
     quoting: QuotingMode = RFC4180Quoting()
     encoding: str | None = None
+    ignore_quoting: bool = False
 
 
 TokenReader = Callable[[SparkSession, str], DataFrame]

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabspark.functions.tokenize import tokens_of
 from tabspark.sources.infer import TableSpec
+from tabspark.sources.options import RFC4180Quoting
 from tabspark.sources.text import data_lines, tokenize
 
 
@@ -54,7 +58,8 @@ def complete_rows(df: DataFrame) -> DataFrame:
 
 def read_tokens_of(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
     """(tokens): the data lines of a file or folder, tokenized as the spec says."""
-    return tokenize(data_lines(spark.read.text(path), spec.options), spec.options)
+    options = replace(spec.options, quoting=RFC4180Quoting()) if spec.options.ignore_quoting else spec.options
+    return tokenize(data_lines(spark.read.text(path), options), options)
 
 
 def read_table_maybe(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
@@ -80,7 +85,5 @@ def read_table_debug(spark: SparkSession, path: str, spec: TableSpec) -> tuple[D
 
 def parse_line(line: Column, spec: TableSpec) -> Column:
     """One line as a struct of cells as in parse_either."""
-    from tabspark.functions.tokenize import tokens_of
-
     cells = _cells(spec, tokens_of(line, spec.options))
     return F.struct(*[F.struct(value.alias("value"), F.when(value.isNull(), F.coalesce(raw, F.lit(""))).alias("raw")).alias(name) for name, raw, value, _ in cells])

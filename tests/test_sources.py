@@ -231,3 +231,12 @@ def test_parse_line(spark):
     spec = infer.table_spec({"a": P.INT, "b": P.TEXT})
     row = spark.range(1).select(readers.parse_line(F.lit('x,"b, c"'), spec).alias("r")).first().r
     assert (row.a.value, row.a.raw, row.b.value, row.b.raw) == (None, "x", "b, c", None)
+
+
+def test_quoting_modes_of_readers(spark, lines_file):
+    path = lines_file('a,b\n"1",x\n2 ,y\n')
+    columns = {"a": P.TEXT, "b": P.TEXT}
+    raw = options.ParserOptions(quoting=options.NoQuoting())
+    assert [r.a for r in readers.read_table(spark, path, infer.table_spec(columns, raw)).collect()] == ['"1"', "2 "]
+    ignored = options.ParserOptions(quoting=options.NoQuoting(), ignore_quoting=True)
+    assert [r.a for r in readers.read_table(spark, path, infer.table_spec(columns, ignored)).collect()] == ["1", "2"]
