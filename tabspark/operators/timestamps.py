@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabspark.errors import SchemaError
-from tabspark.session import fresh, pinned, quoted
+from tabspark.session import apart, fresh, pinned, quoted
 
 # English month and weekday names, and zone abbreviations with their minutes east of UTC.
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
@@ -119,59 +119,51 @@ def normalise_timestamps(df: DataFrame, text: str, zone: str | None, rules: Time
         if name is not None and name not in df.columns:
             raise SchemaError(f"no column {name!r}")
     pattern, replacement = compile_notations(rules.notations)
-    whole, parts, comp, local, at = fresh([*df.columns, instant, status], "_ts_text", "_ts_parts", "_ts", "_ts_local", "_ts_at")
-
-    trimmed = F.translate(F.trim(quoted(text)), MARK, "?")
-    step = df.withColumn(whole, trimmed).withColumn(parts, F.split(F.regexp_replace(F.col(whole), pattern, replacement), MARK))
-    get = {g: F.when(F.size(parts) == len(GROUPS) + 1, F.nullif(F.col(parts)[i + 1], F.lit(""))) for i, g in enumerate(GROUPS)}
-    number = {g: get[g].try_cast("bigint") for g in GROUPS}
-    named = F.coalesce(get["zone"], get["bracket"])
-    step = step.withColumn(comp, pinned(F.struct(
-        (F.size(parts) == len(GROUPS) + 1).alias("read"),
-        F.coalesce(number["seconds"] * 1_000_000, number["millis"] * 1000).alias("epoch"),
-        number["year"].alias("year"), F.coalesce(number["month"], _name_number(get["name"], MONTHS, 1)).alias("month"), number["day"].alias("day"),
-        get["weekday"].isNotNull().alias("has_weekday"), _name_number(get["weekday"], WEEKDAYS, 0).alias("weekday"),
-        number["hour"].alias("hour"), F.coalesce(number["minute"], F.lit(0)).alias("minute"), F.coalesce(number["second"], F.lit(0)).alias("second"),
-        F.coalesce(F.rpad(get["fraction"], 6, "0").cast("bigint"), F.lit(0)).alias("micro"), F.lower(get["half"]).alias("half"),
-        F.when(get["sign"].isNotNull(), F.when(get["sign"] == "-", -1).otherwise(1) * (number["offhour"] * 60 + F.coalesce(number["offminute"], F.lit(0)))).alias("offset"),
-        (F.coalesce(number["offhour"], F.lit(0)) <= 18).alias("offset_ok") & (F.coalesce(number["offminute"], F.lit(0)) <= 59),
-        named.alias("named"),
-    ).cast("struct<read:boolean,epoch:bigint,year:bigint,month:bigint,day:bigint,has_weekday:boolean,weekday:bigint,hour:bigint,minute:bigint,second:bigint,micro:bigint,half:string,offset:bigint,offset_ok:boolean,named:string>")))
-
-    c = {f: F.col(f"{comp}.{f}") for f in ("read", "epoch", "year", "month", "day", "has_weekday", "weekday", "hour", "minute", "second", "micro", "half", "offset", "offset_ok", "named")}
-    days = days_from_civil(c["year"], c["month"], c["day"])
-    hour = F.coalesce(F.when(c["half"].isNull(), c["hour"]).otherwise(c["hour"] % 12 + F.when(c["half"] == "pm", 12).otherwise(0)), F.lit(0))
+    own = fresh([*df.columns, instant, status], "_ts_text", "_ts_parts", "_ts_us", "_ts_offset", "_ts_zone", "_ts_before", "_ts_after", "_ts_early", "_ts_late")
+    whole, parts, us, offset, place, before, after, early, late = map(F.col, own)
+    names = dict(zip(("whole", "parts", "us", "offset", "place", "before", "after", "early", "late"), own, strict=True))
+
+    def derive(step: DataFrame, **columns: Column) -> DataFrame:
+        return step.withColumns({names[n]: pinned(c) for n, c in columns.items()})
+
+    step = derive(df, whole=F.translate(F.trim(quoted(text)), MARK, "?"))
+    step = derive(step, parts=F.split(F.regexp_replace(whole, pattern, replacement), MARK))
+    step = derive(step, parts=F.when(F.size(parts) == len(GROUPS) + 1, parts))
+    get = {g: F.nullif(F.get(parts, F.lit(i + 1)), F.lit("")) for i, g in enumerate(GROUPS)}
+    number = {g: get[g].cast("bigint") for g in GROUPS}  # these groups hold digits or nothing
+    or_zero = lambda c: F.coalesce(c, F.lit(0))
+
+    year, month, day = number["year"], F.coalesce(number["month"], _name_number(get["name"], MONTHS, 1)), number["day"]
+    days = days_from_civil(year, month, day)
+    half = F.lower(get["half"])
+    hour = or_zero(F.when(half.isNull(), number["hour"]).otherwise(number["hour"] % 12 + F.when(half == "pm", 12).otherwise(0)))
+    minute, second, off_hour, off_minute = (or_zero(number[g]) for g in ("minute", "second", "offhour", "offminute"))
     in_range = (
-        (c["year"] >= 1) & c["month"].between(1, 12) & (c["day"] >= 1) & (c["day"] <= _month_length(c["year"], c["month"]))
-        & (hour <= 23) & (c["minute"] <= 59) & (c["second"] <= 59) & c["offset_ok"]
-        & (c["half"].isNull() | c["hour"].between(1, 12))
-        & (~c["has_weekday"] | (F.pmod(days, F.lit(7)) == c["weekday"]))
+        (year >= 1) & month.between(1, 12) & (day >= 1) & (day <= _month_length(year, month)) & (hour <= 23) & (minute <= 59) & (second <= 59)
+        & (off_hour <= 18) & (off_minute <= 59) & (half.isNull() | number["hour"].between(1, 12))
+        & (get["weekday"].isNull() | (F.pmod(days, F.lit(7)) == _name_number(get["weekday"], WEEKDAYS, 0)))
     )
-    micros = (days * 86_400 + hour * 3600 + c["minute"] * 60 + c["second"]) * 1_000_000 + c["micro"]
-    short = F.element_at(F.create_map(*[F.lit(x) for pair in rules.abbreviations.items() for x in pair]), F.upper(c["named"])).cast("bigint")
+    micro = or_zero(F.rpad(get["fraction"], 6, "0").cast("bigint"))
+    micros = (days * 86_400 + hour * 3600 + minute * 60 + second) * 1_000_000 + micro
+    named = F.coalesce(get["zone"], get["bracket"])
+    short = F.element_at(F.create_map(*[F.lit(x) for pair in rules.abbreviations.items() for x in pair]), F.upper(named)).cast("bigint")
+    written = F.when(get["sign"].isNotNull(), F.when(get["sign"] == "-", -1).otherwise(1) * (off_hour * 60 + off_minute))
     fallback = F.coalesce(quoted(zone) if zone is not None else F.lit(None).cast("string"), F.lit(rules.default_zone))
-    name = F.when(c["offset"].isNotNull() | short.isNotNull(), None).otherwise(F.coalesce(c["named"], fallback))
-    step = step.withColumn(local, pinned(F.struct(
-        F.when(F.coalesce(in_range, F.lit(False)), micros).cast("bigint").alias("us"), F.coalesce(c["offset"], short).alias("offset"),
-        F.when(name.isin(known_zones()), name).alias("zone"),
-    )))
+    step = derive(step, us=apart(F.when(in_range, micros).cast("bigint")), offset=F.coalesce(written, short))
+    step = derive(step, place=F.when(offset.isNull() & us.isNotNull(), F.coalesce(named, fallback)))
+    step = derive(step, place=apart(F.when(place.isin(known_zones()), place)))
 
     # A zone's offset a day before and a day after a local time: the only two it can have at that time.
-    us, place = F.col(f"{local}.us"), F.col(f"{local}.zone")
     shift = lambda u: F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(u), place)) - u
-    step = step.withColumn(at, pinned(F.when(us.isNotNull() & place.isNotNull(), F.struct(shift(us - DAY_US).alias("before"), shift(us + DAY_US).alias("after")))))
-    early, late = us - F.col(f"{at}.before"), us - F.col(f"{at}.after")
-    fits_early, fits_late = shift(early) == F.col(f"{at}.before"), (shift(late) == F.col(f"{at}.after")) & (late != early)
-    found = F.struct(F.when(fits_early, early).alias("early"), F.when(fits_late, late).alias("late"))
-    step = step.withColumn(at, pinned(F.when(F.col(at).isNotNull(), found)))
-
-    early, late, offset = F.col(f"{at}.early"), F.col(f"{at}.late"), F.col(f"{local}.offset")
-    blank = F.col(whole).isNull() | (F.col(whole) == "")
+    step = derive(step, before=apart(shift(us - DAY_US)), after=shift(us + DAY_US))
+    step = derive(step, early=apart(F.when(shift(us - before) == before, us - before)), late=F.when((before != after) & (shift(us - after) == after), us - after))
+
+    epoch = F.coalesce(number["seconds"] * 1_000_000, number["millis"] * 1000)
     state = (
-        F.when(blank, "missing").when(~c["read"], "unreadable").when(c["epoch"].isNotNull(), "ok").when(us.isNull(), "invalid")
+        F.when(whole.isNull() | (whole == ""), "missing").when(parts.isNull(), "unreadable").when(epoch.isNotNull(), "ok").when(us.isNull(), "invalid")
         .when(offset.isNotNull(), "ok").when(place.isNull(), "unknown_zone")
         .when(early.isNotNull() & late.isNotNull(), "twice").when(early.isNull() & late.isNull(), "never").otherwise("ok")
     )
-    value = F.when(F.col(status) == "ok", F.coalesce(c["epoch"], us - offset * 60_000_000, early, late))
+    value = F.when(F.col(status) == "ok", F.coalesce(epoch, us - offset * 60_000_000, early, late))
     out = step.withColumn(status, pinned(state)).withColumn(instant, value)
-    return out.drop(whole, parts, comp, local, at)
+    return out.drop(*own)

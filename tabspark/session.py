@@ -59,6 +59,14 @@ def pinned(value: Column) -> Column:
     return F.when(F.monotonically_increasing_id() >= 0, value)
 
 
+def apart(value: Column) -> Column:
+    """``value``, with its projection outside whole-stage code, where Spark splits long expressions into small methods.
+
+    One generated method for a long chain of steps is beyond what the JVM compiles, and is then interpreted.
+    """
+    return F.get(F.transform(F.array(value), lambda x: x), F.lit(0))
+
+
 def quoted(name: str) -> Column:
     """The top-level column of that exact name, points and backticks in it included."""
     return F.col("`" + name.replace("`", "``") + "`")
