@@ -56,7 +56,7 @@ def pinned(value: Column) -> Column:
 
     Long chains of derived columns otherwise grow exponentially when a filter on the last is pushed to the scan.
     """
-    return F.when(F.monotonically_increasing_id() >= 0, value)
+    return F.when(F.spark_partition_id() >= 0, value)
 
 
 def apart(value: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabspark.functions.tokenize import tokens_of
+from tabspark.session import pinned
 from tabspark.sources.infer import TableSpec
 from tabspark.sources.options import RFC4180Quoting
 from tabspark.sources.text import data_lines, tokenize
@@ -24,7 +25,7 @@ def _cells(spec: TableSpec, tokens: Column) -> list[tuple[str, Column, Column, d
 
 def parse_maybe(tokens: DataFrame, spec: TableSpec) -> DataFrame:
     """Rows of (tokens) with the spec's columns; a cell that does not parse or is absent is null. Text always parses."""
-    return tokens.select(*[value.alias(name, metadata=meta) for name, _, value, meta in _cells(spec, F.col("tokens"))])
+    return tokens.select(*[pinned(value).alias(name, metadata=meta) for name, _, value, meta in _cells(spec, F.col("tokens"))])
 
 
 def parse_strict(tokens: DataFrame, spec: TableSpec) -> DataFrame:

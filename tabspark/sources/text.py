@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabspark.functions.tokenize import tokens_of
+from tabspark.session import pinned
 from tabspark.sources.options import ParserOptions
 
 
@@ -53,7 +54,7 @@ def read_tokens(spark: SparkSession, path: str, options: ParserOptions = ParserO
 
 
 def tokenize(lines: DataFrame, options: ParserOptions) -> DataFrame:
-    return lines.select(tokens_of(F.col("value"), options).alias("tokens"))
+    return lines.select(pinned(tokens_of(F.col("value"), options)).alias("tokens"))
 
 
 def rfc4180_tokens(spark: SparkSession, path: str, columns: int, separator: str = ",", encoding: str = "UTF-8") -> DataFrame:
