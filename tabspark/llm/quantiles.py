@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -152,8 +153,7 @@ def summarise(df: DataFrame, groups: list[str], measures: list[str], error: floa
             _fold(entry)
             rows.append([*key, measure, part, *_row(compress(entry[2], error))])
         if rows:
-            arrays = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), _arrow(schema), strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+            yield _batch(rows, _arrow(schema), schema)
 
     def _fold(entry: list) -> None:
         """Adds the held rows to the group's summary. Chunks are compressed only once they are merged four at a time."""
@@ -192,23 +192,44 @@ def combine(summaries: DataFrame, groups: list[str], error: float = 0.005) -> Da
     keyed = keyed.withColumn("_branch", F.pmod(F.xxhash64("_order"), F.lit(FAN_IN)).cast("string")).select(*[quoted(g) for g in groups], "measure", "_order", "_branch", *[f.name for f in STATE])
     for by in ([*groups, "measure", "_branch"], [*groups, "measure"]):
         schema = T.StructType([*[keyed.schema[c] for c in by], *([T.StructField("_order", T.StringType())] if "_branch" in by else []), *STATE])
-        keyed = keyed.groupBy(*by).applyInArrow(_merger(by, schema, error), schema)
+        # Keys lie together and in order within a partition, so one pass merges all of its groups.
+        keys = [quoted(c) for c in by]
+        keyed = keyed.repartition(*keys).sortWithinPartitions(*keys, "_order").mapInArrow(_merger(by, schema, error), schema)
     return keyed
 
 
-def _merger(by: list[str], schema: T.StructType, error: float) -> Callable[[pa.Table], pa.Table]:
-    types = _arrow(schema)
+def _merger(by: list[str], schema: T.StructType, error: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Merges the summaries of each run of rows with equal keys; a run may go on in the next batch."""
+    types, branch = _arrow(schema), "_branch" in by
 
-    def merged(table: pa.Table) -> pa.Table:
-        rows = table.sort_by([("_order", "ascending")]).to_pylist()
-        parts = [Summary(np.array(r["values"], float), np.array(r["low"], np.int64), np.array(r["high"], np.int64), r["n"], r["level"]) for r in rows]
-        s = merge_all(parts, error) if len(parts) > 1 else parts[0]
-        row = [*[rows[0][c] for c in by], *([rows[0]["_branch"]] if "_branch" in by else []), *_row(s)]
-        return pa.Table.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=schema.names)
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Summary]]:
+        for batch in batches:
+            columns = {c: batch.column(c).to_pylist() for c in [*by, "n", "level"]}
+            lists = {c: batch.column(c) for c in ("values", "low", "high")}
+            for i, key in enumerate(zip(*[columns[c] for c in by], strict=True)):
+                values, low, high = (lists[c][i].values.to_numpy(zero_copy_only=False) for c in ("values", "low", "high"))
+                yield key, Summary(values.astype(float), low.astype(np.int64), high.astype(np.int64), columns["n"][i], columns["level"][i])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = []
+        for key, run in groupby(rows_of(batches), key=lambda r: r[0]):
+            parts = [s for _, s in run]
+            s = merge_all(parts, error) if len(parts) > 1 else parts[0]
+            out.append([*key, *([key[by.index("_branch")]] if branch else []), *_row(s)])
+            if len(out) >= 1000:
+                yield _batch(out, types, schema)
+                out = []
+        if out:
+            yield _batch(out, types, schema)
 
     return merged
 
 
+def _batch(rows: list[list], types: list[pa.DataType], schema: T.StructType) -> pa.RecordBatch:
+    arrays = [pa.array(list(column), kind) for column, kind in zip(zip(*rows, strict=True), types, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+
 def percentiles(summaries: DataFrame, groups: list[str], shares: list[float]) -> DataFrame:
     """(groups, measure, share, value, n, rank_low, rank_high, rank_error): the value for each share of each summary.
 
