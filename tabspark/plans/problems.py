@@ -32,6 +32,16 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return _three_columns(spark, folder).changes(["well_status"]).withColumnsRenamed({"feed": "feed_no", "load": "load_no"})
 
 
+def p1_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """How each load differs from the load before in every column, where well-formed is what the induced expressions cover.
+
+    Text columns but the volumes are compared as categories, all others as numbers.
+    """
+    df = table(spark, folder, "issue114")
+    text = [c for c, kind in df.dtypes if kind == "string" and c not in ("oil_vol", "gas_vol")]
+    return _all_columns(spark, folder).changes(text).withColumnsRenamed({"feed": "feed_no", "load": "load_no"})
+
+
 def p1_profile(spark: SparkSession, folder: str) -> DataFrame:
     """Standard aggregates of every column per load."""
     columns = ["feed", "load", "column_name", "n_rows", "n_missing", "n_distinct", "minimum", "maximum"]
@@ -97,6 +107,7 @@ def p6_report(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
+    "p1_changes": p1_changes,
     "p1_profile": p1_profile,
     "p1_coverage": p1_coverage,
     "p1_expressions": p1_expressions,
