@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from tabspark.errors import SchemaError
 from tabspark.operators.selection import exact_medians, salted_join
@@ -108,14 +109,18 @@ class LoadProfile:
 
     ``stated`` gives the well-formed values of a column as an expression made of the classes ``[0-9]``, ``[A-Z]``,
     ``[a-z]``, counts and single characters, so that a value's shape settles it; a column without one is judged by its
-    induced expressions. ``numeric`` columns have ranges and medians of their well-formed numbers. Rows sent twice count
-    twice; null feeds or loads form their own group; an empty table gives empty results.
+    induced expressions. ``numeric`` columns have ranges and medians of their well-formed numbers; every value of a column
+    whose type is numeric is one, however it is printed, but those that are not a number (NaN). Rows sent twice count twice;
+    null feeds or loads form their own group; an empty table gives empty results.
     """
 
     def __init__(self, df: DataFrame, feed: str, load: str, columns: list[str], stated: dict[str, str] | None = None, numeric: list[str] | None = None):
         self.stated, self.numeric = stated or {}, columns if numeric is None else numeric
-        number = F.col("column_name").isin(self.numeric) & F.col("value").rlike(NUMBER)
         counts = value_counts(df, [feed, load], columns)
+        typed = [c for c in self.numeric if c in columns and isinstance(df.schema[c].dataType, NumericType)]
+        # Printed numbers, as 1.0E7, read back as the same number.
+        plain = F.col("value").rlike(NUMBER) | (F.col("column_name").isin(typed) & (F.col("value") != "NaN"))
+        number = F.col("column_name").isin(self.numeric) & plain
         # Written once: it is read for shapes, ranges, medians and distances, each with other filters.
         self.values = cut_lineage(counts.withColumn("shape", shape_of(F.col("value"))).withColumn("number", F.when(number, F.col("value").try_cast("double"))))
 

@@ -15,7 +15,7 @@ FINE = 2.0**32
 
 def coarse_cell(x: Column) -> Column:
     """A non-decreasing whole-number function of a double: about 1000 cells for each power of two, zero apart."""
-    scale = F.floor(F.log2(F.abs(x)) * 1024) + 1_200_000
+    scale = F.floor(F.least(F.log2(F.abs(x)), F.lit(1100.0)) * 1024) + 1_200_000  # infinity has a cell of its own
     return F.when(x == 0, 0).when(x > 0, scale).otherwise(-scale).cast("bigint")
 
 

@@ -6,6 +6,7 @@ from statistics import median
 
 import duckdb
 
+from tabspark.operators import profile
 from tabspark.plans import problems
 from tabspark.sources.memory import to_frame
 
@@ -79,3 +80,16 @@ def test_induced_coverage_is_compared(spark, tmp_path):
     to_frame(spark, rows, "feed_no bigint, load_no bigint, facility_num string").write.parquet(str(tmp_path / "issue114.parquet"))
     found = problems.QUERIES["p1_changes"](spark, str(tmp_path))
     assert [tuple(r) for r in found.collect()] == [(1, 2, "facility_num", "pattern")]
+
+
+def test_large_and_small_doubles_are_numbers(spark):
+    """Spark prints these with an exponent."""
+    values = {1: [1e7, 2.5e8, 1e-4], 2: [1.0, 2.0, 3.0], 3: [-1e-4, float("nan"), float("-inf")], 4: [float("inf")] * 3}
+    df = to_frame(spark, [(1, n, v, f"{v:.1E}") for n, vs in values.items() for v in vs], "feed bigint, load bigint, x double, s string")
+    p = profile.LoadProfile(df, "feed", "load", ["x", "s"])
+    got = {r.load: (r.minimum, r.maximum) for r in p.summary().where("column_name = 'x'").collect()}
+    assert got == {1: (1e-4, 2.5e8), 2: (1.0, 3.0), 3: (float("-inf"), -1e-4), 4: (float("inf"), float("inf"))}
+    middle = {r.load: r.median for r in p.medians().where("column_name = 'x'").collect()}
+    assert middle == {1: 1e7, 2: 2.0, 3: float("-inf"), 4: float("inf")}
+    # Text cells are numbers by their form only.
+    assert {r.load: (r.minimum, r.maximum) for r in p.summary().where("column_name = 's'").collect()}[1] == (None, None)
