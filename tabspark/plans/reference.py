@@ -214,6 +214,42 @@ def inner_join_multikey(spark: SparkSession, folder: str) -> DataFrame:
     return joins.inner_join(a, b, "l_partkey", "l_suppkey")
 
 
+@query("""select l_partkey, l_suppkey, a.l_orderkey, a.l_linenumber, b.other_orderkey, b.other_quantity from lineitem a
+  join (select l_partkey, l_suppkey, l_orderkey as other_orderkey, l_quantity as other_quantity from lineitem) b using (l_partkey, l_suppkey)""")
+def inner_join_multikey_large(spark: SparkSession, folder: str) -> DataFrame:
+    lines = table(spark, folder, "lineitem")
+    others = lines.select("l_partkey", "l_suppkey", F.col("l_orderkey").alias("other_orderkey"), F.col("l_quantity").alias("other_quantity"))
+    return joins.inner_join(C.project(lines, "l_partkey", "l_suppkey", "l_orderkey", "l_linenumber"), others, "l_partkey", "l_suppkey")
+
+
+# Whole tables; some orders have no line.
+def _orders_and_lines(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_totalprice")
+    return orders, C.project(table(spark, folder, "lineitem"), "l_orderkey", "l_linenumber", "l_quantity")
+
+
+_ORDERS = "(select o_orderkey as l_orderkey, o_custkey, o_totalprice from orders)"
+_LINES = "(select l_orderkey, l_linenumber, l_quantity from lineitem)"
+
+
+@query(f"select l_orderkey, o_custkey, o_totalprice, l_linenumber, l_quantity from {_ORDERS} left join {_LINES} using (l_orderkey)")
+def left_join_large(spark: SparkSession, folder: str) -> DataFrame:
+    orders, lines = _orders_and_lines(spark, folder)
+    return joins.left_join(orders, lines, "l_orderkey")
+
+
+@query(f"select l_orderkey, l_linenumber, l_quantity, o_custkey, o_totalprice from {_LINES} right join {_ORDERS} using (l_orderkey)")
+def right_join_large(spark: SparkSession, folder: str) -> DataFrame:
+    orders, lines = _orders_and_lines(spark, folder)
+    return joins.right_join(lines, orders, "l_orderkey")
+
+
+@query(f"select l_orderkey, l_linenumber, l_quantity, o_custkey, o_totalprice from {_LINES} full join {_ORDERS} using (l_orderkey)")
+def outer_join_large(spark: SparkSession, folder: str) -> DataFrame:
+    orders, lines = _orders_and_lines(spark, folder)
+    return joins.outer_join(lines, orders, "l_orderkey")
+
+
 # --- sets of rows and places
 
 
