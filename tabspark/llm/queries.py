@@ -52,6 +52,11 @@ def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return _mixed(spark, folder)[0]
 
 
+def p8_records(spark: SparkSession, folder: str) -> DataFrame:
+    """The uses of p8_mixture with their whole records, copies included, in the order of the mixture."""
+    return _mixed(spark, folder)[0].join(table(spark, folder, "documents").drop("source"), "doc_id").orderBy("running_tokens")
+
+
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixed(spark, folder)[1]
 
@@ -73,7 +78,7 @@ def p9_fertility(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p2_percentiles, p2_daily, p4_found, p7_ids, p8_mixture, p8_shares, p9_found, p9_share, p9_fertility)
+    f.__name__: f for f in (p2_percentiles, p2_daily, p4_found, p7_ids, p8_mixture, p8_records, p8_shares, p9_found, p9_share, p9_fertility)
 }
 
 _SHARE_SQL = r"""
