@@ -79,7 +79,7 @@ def map_rows(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*[c.alias(n) for n, c in columns.items()])
 
 
-def equal_frames(a: DataFrame, b: DataFrame, order_a: list[Column] | None = None, order_b: list[Column] | None = None) -> bool:
+def equal_tables(a: DataFrame, b: DataFrame, order_a: list[Column] | None = None, order_b: list[Column] | None = None) -> bool:
     """Whether both have the same columns and, place by place, the same rows; nulls are equal to nulls."""
     if [(f.name, f.dataType) for f in a.schema] != [(f.name, f.dataType) for f in b.schema]:
         return False

@@ -70,9 +70,11 @@ def p3_status(spark: SparkSession, folder: str) -> DataFrame:
     return timestamps.normalise_timestamps(users, "signup_date", "zone").groupBy("ts_status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _split(spark: SparkSession, folder: str, with_fields: bool) -> tuple[DataFrame, dict]:
+def _split(spark: SparkSession, folder: str, with_fields: bool, file: str | None = None) -> tuple[DataFrame, dict]:
     layout = rejects.read_layout(table(spark, folder, "raw_columns"))
     records = table(spark, folder, "raw_records").select("raw_id", "file_name", "record")
+    if file is not None:
+        records = records.where(F.col("file_name") == file)  # before the split, whose Python step no filter passes
     return rejects.split_records(records, "record", "file_name", layout, with_fields), layout
 
 
@@ -83,7 +85,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_valid(name: str) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        split, layout = _split(spark, folder, True)
+        split, layout = _split(spark, folder, True, name)
         return rejects.valid_rows(split, "file_name", name, layout, ["raw_id"])
 
     query.__doc__ = f"The valid records of {name} as typed rows."

@@ -254,7 +254,7 @@ def outer_join_large(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("select c_custkey, c_acctbal from customer where c_acctbal < 0 union all select c_custkey, c_acctbal from customer where c_acctbal < 1000")
-def concat_frames(spark: SparkSession, folder: str) -> DataFrame:
+def concat_tables(spark: SparkSession, folder: str) -> DataFrame:
     df = C.project(table(spark, folder, "customer"), "c_custkey", "c_acctbal")
     return rows.concat(df.filter("c_acctbal < 0"), df.filter("c_acctbal < 1000"))
 
@@ -267,7 +267,7 @@ def concat_empty(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""select s_suppkey, s_name, n_name from (select *, row_number() over (order by s_suppkey) i from supplier)
   join (select n_name, row_number() over (order by n_nationkey) i from nation) using (i)""")
-def zip_frames(spark: SparkSession, folder: str) -> DataFrame:
+def zip_tables(spark: SparkSession, folder: str) -> DataFrame:
     left = C.project(table(spark, folder, "supplier"), "s_suppkey", "s_name")
     nations = table(spark, folder, "nation")
     zipped = rows.zip_rows(left, C.project(nations, "n_nationkey", "n_name"), [F.col("s_suppkey")], [F.col("n_nationkey")])
@@ -340,10 +340,10 @@ def arg_max(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("select true as same, false as reversed_same")
-def frames_equal(spark: SparkSession, folder: str) -> DataFrame:
+def tables_equal(spark: SparkSession, folder: str) -> DataFrame:
     df = table(spark, folder, "supplier")
     up, down = [F.col("s_suppkey")], [F.col("s_suppkey").desc()]
-    return to_frame(spark, [(rows.equal_frames(df, df, up, up), rows.equal_frames(df, df, up, down))], "same boolean, reversed_same boolean")
+    return to_frame(spark, [(rows.equal_tables(df, df, up, up), rows.equal_tables(df, df, up, down))], "same boolean, reversed_same boolean")
 
 
 # --- melt and tagged values

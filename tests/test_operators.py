@@ -154,9 +154,9 @@ def test_chunks(numbered):
 
 def test_equality_and_flat_map(spark, people, numbered):
     order = [F.col("id"), F.col("age")]
-    assert rows.equal_frames(people, people, order, order)
-    assert not rows.equal_frames(people, people, order, [F.col("id").desc(), F.col("age")])
-    assert not rows.equal_frames(numbered, numbered.limit(5)) and not rows.equal_frames(people, numbered)
+    assert rows.equal_tables(people, people, order, order)
+    assert not rows.equal_tables(people, people, order, [F.col("id").desc(), F.col("age")])
+    assert not rows.equal_tables(numbered, numbered.limit(5)) and not rows.equal_tables(people, numbered)
     spread = rows.flat_map(people, F.when(F.col("id") < 3, F.array(F.struct(F.lit(1).alias("x")), F.struct(F.lit(2).alias("x")))), "id")
     assert got(spread) == [(1, 1), (1, 2), (2, 1), (2, 1), (2, 2), (2, 2)]
 
