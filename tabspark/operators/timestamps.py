@@ -1,20 +1,26 @@
 """Timestamps in mixed notations and zones, made one instant in UTC.
 
-All notations are compiled into one regular expression with named groups. One pass of it rewrites a text into its
-components; the rest is integer arithmetic on columns, so the whole operator stays in generated code and no row moves.
+All notations are compiled into one regular expression with named groups. One pass of it over an Arrow batch gives the
+components of all texts; the rest is integer arithmetic on whole arrays. Only the text and its zone go to Python, and no
+row moves. A zone is a table of its changes of offset, searched once for each local time.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 import zoneinfo
 from dataclasses import dataclass, field
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabspark.errors import SchemaError
-from tabspark.session import apart, fresh, pinned, quoted
+from tabspark.session import fresh, pinned, quoted
 
 # English month and weekday names, and zone abbreviations with their minutes east of UTC.
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
@@ -36,23 +42,24 @@ NOTATIONS = [
     "{millis}",
 ]
 PARTS = {
-    "year": r"(?<year>\d{4})", "month1": r"(?<month>\d{1,2})", "month2": r"(?<month>\d{2})", "name": r"(?<name>[A-Za-z]{3,9})",
-    "day1": r"(?<day>\d{1,2})", "day2": r"(?<day>\d{2})", "weekday": r"(?<weekday>[A-Za-z]{3,9})", "T": "[T ]",
-    "hour1": r"(?<hour>\d{1,2})", "hour2": r"(?<hour>\d{2})", "minute": r"(?<minute>\d{2})", "second": r"(?<second>\d{2})",
-    "fraction": r"[.,](?<fraction>\d{1,9})", "half": "(?<half>[AaPp][Mm])", "seconds": r"(?<seconds>\d{10})", "millis": r"(?<millis>\d{13})",
-    "zone": r"(?: ?(?<sign>[+-])(?<offhour>\d{2})(?::?(?<offminute>\d{2}))?| ?(?<zone>[A-Za-z][\w+-]*(?:/[\w+-]+)*)|\[(?<bracket>[^\]]+)\])",
+    "year": r"(?P<year>\d{4})", "month1": r"(?P<month>\d{1,2})", "month2": r"(?P<month>\d{2})", "name": r"(?P<name>[A-Za-z]{3,9})",
+    "day1": r"(?P<day>\d{1,2})", "day2": r"(?P<day>\d{2})", "weekday": r"(?P<weekday>[A-Za-z]{3,9})", "T": "[T ]",
+    "hour1": r"(?P<hour>\d{1,2})", "hour2": r"(?P<hour>\d{2})", "minute": r"(?P<minute>\d{2})", "second": r"(?P<second>\d{2})",
+    "fraction": r"[.,](?P<fraction>\d{1,9})", "half": "(?P<half>[AaPp][Mm])", "seconds": r"(?P<seconds>\d{10})", "millis": r"(?P<millis>\d{13})",
+    "zone": r"(?: ?(?P<sign>[+-])(?P<offhour>\d{2})(?::?(?P<offminute>\d{2}))?| ?(?P<zone>[A-Za-z][\w+-]*(?:/[\w+-]+)*)|\[(?P<bracket>[^\]]+)\])",
 }
 GROUPS = [
     "year", "month", "name", "day", "weekday", "hour", "minute", "second", "fraction", "half", "seconds", "millis",
     "sign", "offhour", "offminute", "zone", "bracket",
 ]
-MARK = "\u0001"
-DAY_US = 86_400_000_000
 
-
-def known_zones() -> list[str]:
-    """The IANA names that both Python's and Java's zone tables hold."""
-    return sorted(zoneinfo.available_timezones() - {"Factory", "localtime", "EST", "HST", "MST", "ROC", "GMT+0", "GMT-0"})
+# What may come of a text, in the order in which it is decided.
+STATES = ["ok", "missing", "unreadable", "invalid", "unknown_zone", "twice", "never"]
+OK, MISSING, UNREADABLE, INVALID, UNKNOWN_ZONE, TWICE, NEVER = range(len(STATES))
+SECOND = 1_000_000
+#: The years whose changes of offset are tabled; local times of others ask the zone itself, one by one.
+TABLED = (1880, 2110)
+PROBE_DAYS = 5
 
 
 @dataclass(frozen=True)
@@ -64,11 +71,20 @@ class TimestampRules:
     abbreviations: dict[str, int] = field(default_factory=lambda: dict(ABBREVIATIONS))
 
 
-def compile_notations(notations: tuple[str, ...]) -> tuple[str, str]:
-    """One anchored regular expression for all notations, and the replacement that lists the components in GROUPS' order."""
-    alternatives, holders = [], {g: [] for g in GROUPS}
+
+@dataclass(frozen=True)
+class Compiled:
+    """One anchored regular expression for all notations, and for each notation the group that holds a component."""
+
+    pattern: str
+    groups: tuple[dict[str, str], ...]
+
+
+@lru_cache(maxsize=16)
+def compile_notations(notations: tuple[str, ...]) -> Compiled:
+    alternatives, groups = [], []
     for n, notation in enumerate(notations):
-        out = ""
+        out, own = "", {}
         for token in re.findall(r"\{\w+\}|\[|\]|[^{}\[\]]+", notation):
             if token == "[":
                 out += "(?:"
@@ -76,94 +92,208 @@ def compile_notations(notations: tuple[str, ...]) -> tuple[str, str]:
                 out += ")?"
             elif token[0] == "{":
                 part = PARTS[token[1:-1]]
-                for group in re.findall(r"\(\?<(\w+)>", part):
-                    part = part.replace(f"(?<{group}>", f"(?<{group}x{n}>")
-                    holders[group].append(f"${{{group}x{n}}}")
+                for group in re.findall(r"\(\?P<(\w+)>", part):
+                    part = part.replace(f"(?P<{group}>", f"(?P<{group}_{n}>")
+                    own[group] = f"{group}_{n}"
                 out += part
             else:
                 out += re.escape(token).replace(r"\ ", " ")
         alternatives.append(out)
-    return rf"\A(?:{'|'.join(alternatives)})\z", MARK + MARK.join("".join(holders[g]) for g in GROUPS)
+        groups.append(own)
+    return Compiled(rf"\A(?:{'|'.join(alternatives)})\z", tuple(groups))
 
 
-def days_from_civil(year: Column, month: Column, day: Column) -> Column:
-    """Days since 1970-01-01 of a date of the proleptic Gregorian calendar, by integer steps alone (years 1 to 9999)."""
-    shifted = year - F.when(month <= 2, 1).otherwise(0)
-    era = F.floor(shifted / 400)
+def days_from_civil(year: np.ndarray, month: np.ndarray, day: np.ndarray) -> np.ndarray:
+    """Days since 1970-01-01 of dates of the proleptic Gregorian calendar, by integer steps alone."""
+    shifted = year - (month <= 2)
+    era = shifted // 400
     in_era = shifted - era * 400
-    in_year = F.floor((153 * (month + F.when(month > 2, -3).otherwise(9)) + 2) / 5) + day - 1
-    return era * 146_097 + in_era * 365 + F.floor(in_era / 4) - F.floor(in_era / 100) + in_year - 719_468
+    in_year = (153 * (month + np.where(month > 2, -3, 9)) + 2) // 5 + day - 1
+    return era * 146_097 + in_era * 365 + in_era // 4 - in_era // 100 + in_year - 719_468
 
 
-def _month_length(year: Column, month: Column) -> Column:
+def month_lengths(year: np.ndarray, month: np.ndarray) -> np.ndarray:
     leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
-    return F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
+    return np.where(month == 2, 28 + leap, np.where(np.isin(month, (4, 6, 9, 11)), 30, 31))
+
+
+@lru_cache(maxsize=1)
+def zone_names() -> frozenset[str]:
+    return frozenset(zoneinfo.available_timezones() - {"Factory", "localtime"})
+
+
+@lru_cache(maxsize=1024)
+def zone_table(name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ends, starts, offsets) of the stretches of one offset in a zone, in local seconds: stretch i begins at
+    ``starts[i - 1]``, ends before ``ends[i]`` and is ``offsets[i]`` seconds east of UTC.
+
+    Offsets are asked every PROBE_DAYS days; between two that differ the moment of the change is found by halving.
+    """
+    zone, utc = zoneinfo.ZoneInfo(name), dt.timezone.utc
+    origin = dt.datetime(1970, 1, 1, tzinfo=utc)
 
+    def offset(second: int) -> int:
+        return int((origin + dt.timedelta(seconds=second)).astimezone(zone).utcoffset().total_seconds())
 
-def _name_number(text: Column, names: list[str], first: int) -> Column:
-    pairs = [x for i, name in enumerate(names) for x in {name: i + first, name[:3]: i + first}.items()]
-    return F.element_at(F.create_map(*[F.lit(x) for pair in pairs for x in pair]), F.lower(text))
+    first, last = (int((dt.datetime(y, 1, 1, tzinfo=utc) - origin).total_seconds()) for y in TABLED)
+    changes, offsets = [], [offset(first)]
+    for end in range(first + PROBE_DAYS * 86_400, last, PROBE_DAYS * 86_400):
+        now = offset(end)
+        if now == offsets[-1]:
+            continue
+        low, high = end - PROBE_DAYS * 86_400, end
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if offset(middle) == offsets[-1] else (low, middle)
+        changes.append(high)
+        offsets.append(now)
+    at, off = np.array(changes, np.int64), np.array(offsets, np.int64)
+    return at + off[:-1], at + off[1:], off
+
+
+def local_offsets(name: str, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For local seconds in a zone: how often they come (0, 1 or 2), and the offset in seconds where it is once."""
+    ends, starts, offsets = zone_table(name)
+    begun, over = np.searchsorted(starts, second, "right"), np.searchsorted(ends, second, "right")
+    times, offset = begun - over + 1, offsets[begun]
+    first, last = (days_from_civil(*(np.array([x]) for x in (y, 1, 1)))[0] * 86_400 for y in (TABLED[0] + 1, TABLED[1] - 1))
+    for i in np.flatnonzero((second < first) | (second >= last)):
+        zone, wall, fits = zoneinfo.ZoneInfo(name), dt.datetime(1970, 1, 1) + dt.timedelta(seconds=int(second[i])), set()
+        for fold in (0, 1):
+            east = wall.replace(tzinfo=zone, fold=fold).utcoffset()
+            try:
+                back = (wall - east).replace(tzinfo=dt.timezone.utc).astimezone(zone).replace(tzinfo=None)
+            except OverflowError:  # the first or last day that the calendar has
+                back = wall
+            if back == wall:
+                fits.add(int(east.total_seconds()))
+        times[i], offset[i] = len(fits), min(fits, default=0)
+    return times, offset
+
+
+def _digits(texts: pa.Array, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The whole numbers of some rows of an array of digits (0 for an empty text), and how many digits they have."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
+    start, length = offsets[rows], offsets[rows + 1] - offsets[rows]
+    out = np.zeros(len(rows), np.int64)
+    for j in range(int(length.max(initial=0))):
+        more = length > j
+        out[more] = out[more] * 10 + (data[start[more] + j] - 48)
+    return out, length
+
+
+def _numbered(texts: pa.Array, rows: np.ndarray, names: list[str], first: int) -> np.ndarray:
+    """The places of names, or of their first three letters, in a list, counted from ``first``; -1 for no such name."""
+    known = [*names, *(n[:3] for n in names)]
+    at = pc.index_in(pc.ascii_lower(texts.take(pa.array(rows))), pa.array(known)).fill_null(-1).to_numpy()
+    return np.where(at < 0, -1, at % len(names) + first)
+
+
+def resolve(texts: pa.Array, zones: pa.Array | None, rules: TimestampRules) -> tuple[np.ndarray, np.ndarray]:
+    """The instants (microseconds) and the places in STATES of what came of each text."""
+    compiled = compile_notations(rules.notations)
+    whole = pc.utf8_trim(texts.cast(pa.string()), " ")
+    empty = pc.fill_null(pc.equal(pc.binary_length(whole), 0), True).to_numpy(zero_copy_only=False)
+    found = pc.extract_regex(whole, compiled.pattern)
+    state = np.where(empty, MISSING, UNREADABLE)
+    value = np.zeros(len(texts), np.int64)
+    fits = found.is_valid().to_numpy(zero_copy_only=False) & ~empty
+    fields = dict(zip((f.name for f in found.type), found.flatten(), strict=True)) if len(texts) else {}
+    named_rows, named_texts = [], []
+    for own in compiled.groups if fits.any() else ():
+        # A notation's first number is never empty in the texts that it fits.
+        leading = fields[own.get("year") or own.get("seconds") or own["millis"]]
+        rows = np.flatnonzero(fits & (pc.fill_null(pc.binary_length(leading), 0).to_numpy(zero_copy_only=False) > 0))
+        if not len(rows):
+            continue
+        if "year" not in own:
+            value[rows] = _digits(leading, rows)[0] * (SECOND if "seconds" in own else 1000)
+            state[rows] = OK
+            continue
+        zero = np.zeros(len(rows), np.int64)
+        part = {g: _digits(fields[own[g]], rows) for g in ("year", "month", "day", "hour", "minute", "second", "fraction", "offhour", "offminute") if g in own}
+        number = lambda g: part[g][0] if g in part else zero  # noqa: B023, E731
+        month = number("month") if "month" in part else _numbered(fields[own["name"]], rows, MONTHS, 1)
+        year, day, hour = number("year"), number("day"), number("hour")
+        good = (year >= 1) & (month >= 1) & (month <= 12) & (day >= 1) & (day <= month_lengths(year, month))
+        days = days_from_civil(year, month, day)
+        if "half" in own:
+            half = pc.ascii_lower(fields[own["half"]].take(pa.array(rows)))
+            has = pc.not_equal(half, "").to_numpy(zero_copy_only=False)
+            good &= ~has | ((hour >= 1) & (hour <= 12))
+            hour = np.where(has, hour % 12 + 12 * pc.equal(half, "pm").to_numpy(zero_copy_only=False), hour)
+        if "weekday" in own:
+            has = pc.binary_length(fields[own["weekday"]].take(pa.array(rows))).to_numpy(zero_copy_only=False) > 0
+            good &= ~has | (_numbered(fields[own["weekday"]], rows, WEEKDAYS, 0) == days % 7)
+        good &= (hour <= 23) & (number("minute") <= 59) & (number("second") <= 59) & (number("offhour") <= 18) & (number("offminute") <= 59)
+        micro = zero
+        if "fraction" in part:
+            digits, length = part["fraction"]
+            micro = np.where(length > 6, digits // 10 ** np.maximum(length - 6, 0), digits * 10 ** np.maximum(6 - length, 0))
+        value[rows] = (days * 86_400 + hour * 3600 + number("minute") * 60 + number("second")) * SECOND + micro
+        state[rows] = np.where(good, OK, INVALID)
+        local = good
+        if "sign" in own:
+            signed = pc.binary_length(fields[own["sign"]].take(pa.array(rows))).to_numpy(zero_copy_only=False) > 0
+            minus = pc.equal(fields[own["sign"]].take(pa.array(rows)), "-").to_numpy(zero_copy_only=False)
+            at = good & signed
+            value[rows[at]] -= (np.where(minus, -1, 1) * (number("offhour") * 60 + number("offminute")))[at] * 60 * SECOND
+            local = good & ~signed
+        at = pa.array(rows[local])
+        named_rows.append(rows[local])
+        said = pa.nulls(len(at), pa.string())
+        for g in ("zone", "bracket"):
+            if g in own:
+                text = fields[own[g]].take(at)
+                said = pc.coalesce(said, pc.if_else(pc.not_equal(text, ""), text, None))
+        named_texts.append(said)
+    if named_rows:
+        _place(value, state, np.concatenate(named_rows), pa.concat_arrays(named_texts), zones, rules)
+    return value, state
+
+
+def _place(value: np.ndarray, state: np.ndarray, rows: np.ndarray, said: pa.Array, zones: pa.Array | None, rules: TimestampRules) -> None:
+    """Turns the local times of some rows into instants, by the abbreviation or zone said, or else by the row's zone."""
+    short = pc.index_in(pc.utf8_upper(said), pa.array(list(rules.abbreviations), pa.string())).fill_null(-1).to_numpy()
+    minutes = np.array([*rules.abbreviations.values(), 0], np.int64)
+    value[rows] -= np.where(short >= 0, minutes[short], 0) * 60 * SECOND
+    rows, said = rows[short < 0], said.filter(pa.array(short < 0))
+    own = zones.cast(pa.string()).take(pa.array(rows)) if zones is not None else pa.nulls(len(rows), pa.string())
+    coded = pc.fill_null(pc.coalesce(said, own), rules.default_zone).dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(codes, kind="stable")
+    for name, at in zip(coded.dictionary.to_pylist(), np.split(rows[order], np.searchsorted(codes[order], np.arange(1, len(coded.dictionary)))), strict=True) if len(rows) else ():
+        if name not in zone_names():
+            state[at] = UNKNOWN_ZONE
+            continue
+        times, offset = local_offsets(name, value[at] // SECOND)
+        value[at] -= offset * SECOND
+        state[at] = np.where(times == 1, OK, np.where(times > 1, TWICE, NEVER))
 
 
 def normalise_timestamps(df: DataFrame, text: str, zone: str | None, rules: TimestampRules = TimestampRules(), instant: str = "epoch_us", status: str = "ts_status") -> DataFrame:
     """Add ``instant`` (bigint, microseconds since 1970 UTC, null if unresolved) and ``status`` to every row of ``df``.
 
-    ``status`` is ``ok``, ``missing`` (null text or null after the outer spaces are gone), ``unreadable`` (no notation
-    fits), ``invalid`` (a calendar or clock value out of range, or a weekday that is not that date's), ``unknown_zone``,
-    ``twice`` or ``never`` (a local time that its zone has twice or never). Rows are kept one for one, repeated rows too;
-    an empty table gives an empty one; columns that already have an output name are replaced. A text of any length is
-    matched once; fractions beyond microseconds are cut. The zone of a row (``zone`` may be None) counts only where the
-    text names neither offset nor zone; a null zone is ``rules.default_zone``.
+    ``status`` is ``ok``, ``missing`` (null text or nothing after the outer spaces are gone), ``unreadable`` (no notation
+    fits), ``invalid`` (a calendar or clock value out of range, or a weekday that is not that date's), ``unknown_zone``
+    (no name of the IANA table of the machines), ``twice`` or ``never`` (a local time that its zone has twice or never).
+    Rows are kept one for one, repeated rows too; an empty table gives an empty one; columns that already have an output
+    name are replaced. A text of any length is matched once; fractions beyond microseconds are cut. The zone of a row
+    (``zone`` may be None) counts only where the text names neither offset nor zone; a null zone is ``rules.default_zone``.
     """
     for name in (text, zone):
         if name is not None and name not in df.columns:
             raise SchemaError(f"no column {name!r}")
-    pattern, replacement = compile_notations(rules.notations)
-    own = fresh([*df.columns, instant, status], "_ts_text", "_ts_parts", "_ts_us", "_ts_offset", "_ts_zone", "_ts_before", "_ts_after", "_ts_early", "_ts_late")
-    whole, parts, us, offset, place, before, after, early, late = map(F.col, own)
-    names = dict(zip(("whole", "parts", "us", "offset", "place", "before", "after", "early", "late"), own, strict=True))
-
-    def derive(step: DataFrame, **columns: Column) -> DataFrame:
-        return step.withColumns({names[n]: pinned(c) for n, c in columns.items()})
-
-    step = derive(df, whole=F.translate(F.trim(quoted(text)), MARK, "?"))
-    step = derive(step, parts=F.split(F.regexp_replace(whole, pattern, replacement), MARK))
-    step = derive(step, parts=F.when(F.size(parts) == len(GROUPS) + 1, parts))
-    get = {g: F.nullif(F.get(parts, F.lit(i + 1)), F.lit("")) for i, g in enumerate(GROUPS)}
-    number = {g: get[g].cast("bigint") for g in GROUPS}  # these groups hold digits or nothing
-    or_zero = lambda c: F.coalesce(c, F.lit(0))
-
-    year, month, day = number["year"], F.coalesce(number["month"], _name_number(get["name"], MONTHS, 1)), number["day"]
-    days = days_from_civil(year, month, day)
-    half = F.lower(get["half"])
-    hour = or_zero(F.when(half.isNull(), number["hour"]).otherwise(number["hour"] % 12 + F.when(half == "pm", 12).otherwise(0)))
-    minute, second, off_hour, off_minute = (or_zero(number[g]) for g in ("minute", "second", "offhour", "offminute"))
-    in_range = (
-        (year >= 1) & month.between(1, 12) & (day >= 1) & (day <= _month_length(year, month)) & (hour <= 23) & (minute <= 59) & (second <= 59)
-        & (off_hour <= 18) & (off_minute <= 59) & (half.isNull() | number["hour"].between(1, 12))
-        & (get["weekday"].isNull() | (F.pmod(days, F.lit(7)) == _name_number(get["weekday"], WEEKDAYS, 0)))
-    )
-    micro = or_zero(F.rpad(get["fraction"], 6, "0").cast("bigint"))
-    micros = (days * 86_400 + hour * 3600 + minute * 60 + second) * 1_000_000 + micro
-    named = F.coalesce(get["zone"], get["bracket"])
-    short = F.element_at(F.create_map(*[F.lit(x) for pair in rules.abbreviations.items() for x in pair]), F.upper(named)).cast("bigint")
-    written = F.when(get["sign"].isNotNull(), F.when(get["sign"] == "-", -1).otherwise(1) * (off_hour * 60 + off_minute))
-    fallback = F.coalesce(quoted(zone) if zone is not None else F.lit(None).cast("string"), F.lit(rules.default_zone))
-    step = derive(step, us=apart(F.when(in_range, micros).cast("bigint")), offset=F.coalesce(written, short))
-    step = derive(step, place=F.when(offset.isNull() & us.isNotNull(), F.coalesce(named, fallback)))
-    step = derive(step, place=apart(F.when(place.isin(known_zones()), place)))
-
-    # A zone's offset a day before and a day after a local time: the only two it can have at that time.
-    shift = lambda u: F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(u), place)) - u
-    step = derive(step, before=apart(shift(us - DAY_US)), after=shift(us + DAY_US))
-    step = derive(step, early=apart(F.when(shift(us - before) == before, us - before)), late=F.when((before != after) & (shift(us - after) == after), us - after))
-
-    epoch = F.coalesce(number["seconds"] * 1_000_000, number["millis"] * 1000)
-    state = (
-        F.when(whole.isNull() | (whole == ""), "missing").when(parts.isNull(), "unreadable").when(epoch.isNotNull(), "ok").when(us.isNull(), "invalid")
-        .when(offset.isNotNull(), "ok").when(place.isNull(), "unknown_zone")
-        .when(early.isNotNull() & late.isNotNull(), "twice").when(early.isNull() & late.isNull(), "never").otherwise("ok")
-    )
-    value = F.when(F.col(status) == "ok", F.coalesce(epoch, us - offset * 60_000_000, early, late))
-    out = step.withColumn(status, pinned(state)).withColumn(instant, value)
-    return out.drop(*own)
+    kept = [c for c in df.columns if c not in (instant, status)]
+    (both,) = fresh([*df.columns, instant, status], "_ts")
+
+    @F.arrow_udf("us bigint, state string")
+    def read(texts: pa.Array, zones: pa.Array) -> pa.Array:
+        value, state = resolve(texts, zones, rules)
+        names = pa.DictionaryArray.from_arrays(pa.array(state, pa.int8()), pa.array(STATES)).cast(pa.string())
+        return pa.StructArray.from_arrays([pa.array(value, mask=state != OK), names], names=["us", "state"])
+
+    where = quoted(zone).cast("string") if zone is not None else F.lit(None).cast("string")
+    step = df.withColumn(both, pinned(read(quoted(text).cast("string"), where)))
+    return step.select(*[quoted(c) for c in kept], F.col(f"{both}.us").alias(instant), F.col(f"{both}.state").alias(status))
