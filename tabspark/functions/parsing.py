@@ -18,13 +18,17 @@ CUSTOM, UNSURE, CATEGORICAL = 5, 6, 7
 class ParseType:
     """A column type: its name, Spark type, and the parse of a text column (null: does not fit).
 
-    ``combine`` merges what two cells of the type say in inference; by default equal types simply agree.
+    ``sure`` says whether a text that fits surely is of the type (None: always); in inference a column of cells that only
+    may be of it becomes the type unless a cell surely is of another. ``combine`` says whether all the texts seen so far,
+    each of which fits, can be one column of the type (None: they can); if not, the column is text.
     """
 
     name: str
     spark_type: T.DataType
     parse: Callable[[Column], Column] = field(compare=False)
     metadata: dict = field(default_factory=dict, compare=False)
+    sure: Callable[[Column], Column] | None = field(default=None, compare=False)
+    combine: Callable[[frozenset[str]], bool] | None = field(default=None, compare=False)
 
     @property
     def priority(self) -> int:

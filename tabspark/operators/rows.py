@@ -1,13 +1,14 @@
 """Operators on sets of rows and, with an explicit order, on their places.
 
-Rows of a DataFrame have no places. What needs them takes an order that decides every tie, or else the order in which a
-file's lines are read. Places are numbered without gathering rows: partitions are counted, and each starts where those
-before it end.
+Rows of a DataFrame have no places. What needs them takes an order that decides every tie, or else the column ROW_ID that
+the readers give: files in the order of their paths, lines in the order of the file. Places are numbered without gathering
+rows: ranges or splits are counted, and each starts where those before it end.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from tabspark.errors import SchemaError
 from tabspark.operators.columns import require
 from tabspark.session import cut_lineage, fresh, quoted
 
+ROW_ID = "_row_id"
+
 
 def filter_rows(df: DataFrame, *tests: Column) -> DataFrame:
     """The rows for which all tests hold."""
@@ -33,28 +36,60 @@ def concat(first: DataFrame, *others: DataFrame) -> DataFrame:
     return first
 
 
-def with_row_index(df: DataFrame, order: list[Column] | None = None, name: str = "_row_id") -> DataFrame:
-    """``df`` with the place of each row from 0, by ``order`` or else as read.
+def _numbered(rows: DataFrame, at: str, splits: list[str], keep: list[str], name: str) -> DataFrame:
+    """``keep`` and ``name``: the places of written rows, of which each of ``splits`` has consecutive numbers ``at``."""
+    first, start, *keys = fresh([*rows.columns, name], "_first", "_start", *(f"_k{i}" for i in range(len(splits))))
+    sizes = rows.groupBy(*[quoted(s).alias(k) for s, k in zip(splits, keys, strict=True)]).agg(F.min(at).alias(first), F.count(F.lit(1)).alias("_n"))
+    # One row for each split of the input, not for each row of it.
+    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*keys, first, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(start))
+    same = reduce(lambda a, b: a & b, [quoted(s) == F.col(k) for s, k in zip(splits, keys, strict=True)])
+    place = F.col(start) + F.col(at) - F.col(first)
+    return rows.join(starts, same).select(*[quoted(c) for c in keep if c != name], place.alias(name))
+
+
+def with_row_index(df: DataFrame, order: list[Column] | None = None, name: str = ROW_ID) -> DataFrame:
+    """``df`` with the place of each row from 0 as last column, by ``order`` or else by the ROW_ID that a reader gave.
+
+    Without either SchemaError is raised, as the rows then have no order. They are sorted into ranges and written to the
+    shared folder with their places inside their ranges, so that both passes see the same.
+    """
+    if not order and ROW_ID not in df.columns:
+        raise SchemaError(f"rows have no places: give an order, or read the table with {ROW_ID}")
+    at, part = fresh([*df.columns, name], "_at", "_part")
+    rows = df.orderBy(*(order or [quoted(ROW_ID)])).withColumn(at, F.monotonically_increasing_id())
+    rows = cut_lineage(rows.withColumn(part, F.shiftright(F.col(at), 33)))
+    return _numbered(rows, at, [part], df.columns, name)
+
+
+def place_by_file(df: DataFrame, file: str, block: str, name: str = ROW_ID) -> DataFrame:
+    """``df`` without its columns ``file`` and ``block``, with the place of each row from 0 in a folder.
 
-    The rows are written to the checkpoint folder with their places inside their partitions, so that both passes see the
-    same. The partitions' starts are one row each, which bounds what is broadcast.
+    ``block`` is the first byte of the split from which a row came, and a task has the rows of a split in their order. No
+    row moves: they are written once, their splits counted, and each split starts where those before it end.
     """
     (at,) = fresh([*df.columns, name], "_at")
-    rows = cut_lineage((df.orderBy(*order) if order else df).withColumn(at, F.monotonically_increasing_id()))
-    part = F.shiftright(F.col(at), 33)
-    sizes = rows.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    starts = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")).alias("_start"))
-    inside = F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
-    return rows.join(F.broadcast(starts), part == F.col("_p")).select(*[quoted(c) for c in df.columns], (F.col("_start") + inside).alias(name))
+    rows = cut_lineage(df.withColumn(at, F.monotonically_increasing_id()))
+    return _numbered(rows, at, [file, block], [c for c in df.columns if c not in (file, block)], name)
+
+
+def _without_id(df: DataFrame, order: list[Column] | None) -> list[str]:
+    """The columns that hold data: a ROW_ID that is the order does not."""
+    return [c for c in df.columns if order or c != ROW_ID]
 
 
 def zip_rows(a: DataFrame, b: DataFrame, order_a: list[Column] | None = None, order_b: list[Column] | None = None) -> DataFrame:
-    """The columns of both for rows of equal place; as many rows as the shorter has. Column names must differ."""
-    if both := set(a.columns) & set(b.columns):
+    """The columns of both for rows of equal place; as many rows as the shorter has. Column names must differ.
+
+    A ROW_ID by which a table is ordered is not in the result.
+    """
+    left, right = _without_id(a, order_a), _without_id(b, order_b)
+    if both := set(left) & set(right):
         raise SchemaError(f"columns in both tables: {sorted(both)}")
     place_a, place_b = fresh([*a.columns, *b.columns], "_place_a", "_place_b")
-    joined = with_row_index(a, order_a, place_a).join(with_row_index(b, order_b, place_b), F.col(place_a) == F.col(place_b))
-    return joined.select(*[quoted(c) for c in a.columns + b.columns])
+    placed_a = with_row_index(a, order_a, place_a).select(*[quoted(c) for c in left], place_a)
+    placed_b = with_row_index(b, order_b, place_b).select(*[quoted(c) for c in right], place_b)
+    return placed_a.join(placed_b, F.col(place_a) == F.col(place_b)).select(*[quoted(c) for c in left + right])
 
 
 def zip_with(a: DataFrame, b: DataFrame, function: Callable[[DataFrame], Column], out: str, order_a: list[Column] | None = None, order_b: list[Column] | None = None) -> DataFrame:
@@ -80,11 +115,15 @@ def map_rows(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def equal_tables(a: DataFrame, b: DataFrame, order_a: list[Column] | None = None, order_b: list[Column] | None = None) -> bool:
-    """Whether both have the same columns and, place by place, the same rows; nulls are equal to nulls."""
-    if [(f.name, f.dataType) for f in a.schema] != [(f.name, f.dataType) for f in b.schema]:
+    """Whether both have the same columns and, place by place, the same rows; nulls are equal to nulls.
+
+    A ROW_ID by which a table is ordered is not compared.
+    """
+    kinds = [[(c, df.schema[c].dataType) for c in _without_id(df, order)] for df, order in ((a, order_a), (b, order_b))]
+    if kinds[0] != kinds[1]:
         return False
-    left = with_row_index(a, order_a, "_i").select(F.col("_i"), F.struct(*[quoted(c) for c in a.columns]).alias("_a"))
-    right = with_row_index(b, order_b, "_j").select(F.col("_j"), F.struct(*[quoted(c) for c in b.columns]).alias("_b"))
+    left = with_row_index(a, order_a, "_i").select(F.col("_i"), F.struct(*[quoted(c) for c, _ in kinds[0]]).alias("_a"))
+    right = with_row_index(b, order_b, "_j").select(F.col("_j"), F.struct(*[quoted(c) for c, _ in kinds[1]]).alias("_b"))
     differ = left.join(right, F.col("_i") == F.col("_j"), "full").where(F.col("_i").isNull() | F.col("_j").isNull() | ~F.col("_a").eqNullSafe(F.col("_b")))
     return differ.isEmpty()
 

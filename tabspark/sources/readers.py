@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabspark.functions.tokenize import tokens_of
+from tabspark.operators.rows import place_by_file
 from tabspark.session import pinned
 from tabspark.sources.infer import TableSpec
 from tabspark.sources.options import RFC4180Quoting
-from tabspark.sources.text import data_lines, tokenize
+from tabspark.sources.text import BLOCK, FILE, data_lines, tokenize
 
 
 def _cells(spec: TableSpec, tokens: Column) -> list[tuple[str, Column, Column, dict]]:
@@ -23,20 +25,23 @@ def _cells(spec: TableSpec, tokens: Column) -> list[tuple[str, Column, Column, d
     return out
 
 
-def parse_maybe(tokens: DataFrame, spec: TableSpec) -> DataFrame:
-    """Rows of (tokens) with the spec's columns; a cell that does not parse or is absent is null. Text always parses."""
-    return tokens.select(*[pinned(value).alias(name, metadata=meta) for name, _, value, meta in _cells(spec, F.col("tokens"))])
+def parse_maybe(tokens: DataFrame, spec: TableSpec, *keep: str) -> DataFrame:
+    """Rows of (tokens) with the spec's columns; a cell that does not parse or is absent is null. Text always parses.
 
+    Columns of ``tokens`` named in ``keep`` come after them.
+    """
+    return tokens.select(*[pinned(value).alias(name, metadata=meta) for name, _, value, meta in _cells(spec, F.col("tokens"))], *keep)
 
-def parse_strict(tokens: DataFrame, spec: TableSpec) -> DataFrame:
+
+def parse_strict(tokens: DataFrame, spec: TableSpec, *keep: str) -> DataFrame:
     """As parse_maybe, without the rows that have a null cell."""
-    return complete_rows(parse_maybe(tokens, spec))
+    return complete_rows(parse_maybe(tokens, spec, *keep))
 
 
-def parse_either(tokens: DataFrame, spec: TableSpec) -> DataFrame:
+def parse_either(tokens: DataFrame, spec: TableSpec, *keep: str) -> DataFrame:
     """Each column as struct<value, raw>: raw is the token of a cell that did not parse (empty for an absent one), else null."""
     cells = _cells(spec, F.col("tokens"))
-    return tokens.select(*[F.struct(value.alias("value"), F.when(value.isNull(), F.coalesce(raw, F.lit(""))).alias("raw")).alias(name, metadata=meta) for name, raw, value, meta in cells])
+    return tokens.select(*[F.struct(value.alias("value"), F.when(value.isNull(), F.coalesce(raw, F.lit(""))).alias("raw")).alias(name, metadata=meta) for name, raw, value, meta in cells], *keep)
 
 
 def parse_checked(tokens: DataFrame, spec: TableSpec) -> DataFrame:
@@ -57,25 +62,35 @@ def complete_rows(df: DataFrame) -> DataFrame:
     return df.dropna("any")
 
 
-def read_tokens_of(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
-    """(tokens): the data lines of a file or folder, tokenized as the spec says."""
+def read_tokens_of(spark: SparkSession, path: str, spec: TableSpec, with_places: bool = False) -> DataFrame:
+    """(tokens): the data lines of a file or folder, tokenized as the spec says; with FILE and BLOCK if wanted."""
     options = replace(spec.options, quoting=RFC4180Quoting()) if spec.options.ignore_quoting else spec.options
-    return tokenize(data_lines(spark.read.text(path), options), options)
+    return tokenize(data_lines(spark.read.text(path), options, with_places), options)
+
+
+def _read(spark: SparkSession, path: str, spec: TableSpec, parse: Callable[..., DataFrame], placed: bool) -> DataFrame:
+    if not placed:
+        return parse(read_tokens_of(spark, path, spec), spec)
+    return place_by_file(parse(read_tokens_of(spark, path, spec, True), spec, FILE, BLOCK), FILE, BLOCK)
+
 
+def read_table_maybe(spark: SparkSession, path: str, spec: TableSpec, placed: bool = False) -> DataFrame:
+    """All rows; cells that do not parse are null.
 
-def read_table_maybe(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
-    """All rows; cells that do not parse are null."""
-    return parse_maybe(read_tokens_of(spark, path, spec), spec)
+    This and the other readers of whole tables add, if ``placed``, the column ROW_ID: the places of the rows from 0, files
+    in the order of their paths, lines in the order of the file. The rows are written once for that.
+    """
+    return _read(spark, path, spec, parse_maybe, placed)
 
 
-def read_table(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
+def read_table(spark: SparkSession, path: str, spec: TableSpec, placed: bool = False) -> DataFrame:
     """Only the rows whose cells all parse."""
-    return parse_strict(read_tokens_of(spark, path, spec), spec)
+    return _read(spark, path, spec, parse_strict, placed)
 
 
-def read_table_either(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
+def read_table_either(spark: SparkSession, path: str, spec: TableSpec, placed: bool = False) -> DataFrame:
     """All rows, with the raw text of cells that do not parse."""
-    return parse_either(read_tokens_of(spark, path, spec), spec)
+    return _read(spark, path, spec, parse_either, placed)
 
 
 def read_table_debug(spark: SparkSession, path: str, spec: TableSpec) -> tuple[DataFrame, DataFrame]:

@@ -124,22 +124,29 @@ def numbered(spark):
 
 
 def test_places(spark, numbered):
-    assert sorted((r.v, r.i) for r in rows.with_row_index(numbered, None, "i").collect()) == [(n, n) for n in range(20)]
-    down = [F.col("v").desc()]
+    up, down = [F.col("v")], [F.col("v").desc()]
+    read = numbered.withColumn(rows.ROW_ID, F.col("v") * 3)
+    assert sorted((r.v, r.i) for r in rows.with_row_index(read, None, "i").collect()) == [(n, n) for n in range(20)]
     assert sorted((r.v, r.i) for r in rows.with_row_index(numbered, down, "i").collect()) == [(n, 19 - n) for n in range(20)]
-    assert rows.with_row_index(numbered.limit(0)).count() == 0
-    assert rows.row_at(numbered, 3, down).first().v == 16 and rows.row_at(numbered, 30).count() == 0
+    assert rows.with_row_index(read).columns == ["v", "_row_id"] and rows.with_row_index(read).agg(F.max("_row_id")).first()[0] == 19
+    assert rows.with_row_index(numbered.limit(0), up).count() == 0
+    assert rows.row_at(numbered, 3, down).first().v == 16 and rows.row_at(numbered, 30, up).count() == 0
     assert [r.v for r in rows.take_rows(numbered, 3, down).collect()] == [19, 18, 17] and rows.take_rows(numbered, -1, down).count() == 0
-    assert rows.drop_rows(numbered, 18, down).count() == 2 and rows.drop_rows(numbered, 30).count() == 0
+    assert rows.drop_rows(numbered, 18, down).count() == 2 and rows.drop_rows(numbered, 30, up).count() == 0
     assert rows.length(numbered) == 20
+    for without_order in (lambda: rows.with_row_index(numbered), lambda: rows.row_at(numbered, 3), lambda: rows.zip_rows(numbered, read)):
+        with pytest.raises(SchemaError):
+            without_order()
 
 
 def test_zip_is_as_long_as_the_shorter(spark, numbered):
-    other = to_frame(spark, [("a",), ("b",), ("c",)], "t string").coalesce(1)
-    assert got(rows.zip_rows(numbered, other)) == [(0, "a"), (1, "b"), (2, "c")]
-    assert got(rows.zip_with(other, numbered, lambda b: F.concat("t", F.col("v").cast("string")), "x", None, [F.col("v").desc()])) == [("a19",), ("b18",), ("c17",)]
+    other, up = to_frame(spark, [("a",), ("b",), ("c",)], "t string"), [F.col("v")]
+    assert got(rows.zip_rows(numbered, other, up, [F.col("t")])) == [(0, "a"), (1, "b"), (2, "c")]
+    read = numbered.withColumn(rows.ROW_ID, -F.col("v"))
+    assert rows.zip_rows(read, other, None, [F.col("t")]).columns == ["v", "t"]
+    assert got(rows.zip_with(other, read, lambda b: F.concat("t", F.col("v").cast("string")), "x", [F.col("t")])) == [("a19",), ("b18",), ("c17",)]
     with pytest.raises(SchemaError):
-        rows.zip_rows(numbered, numbered)
+        rows.zip_rows(numbered, numbered, up, up)
 
 
 def test_chunks(numbered):
@@ -156,7 +163,7 @@ def test_equality_and_flat_map(spark, people, numbered):
     order = [F.col("id"), F.col("age")]
     assert rows.equal_tables(people, people, order, order)
     assert not rows.equal_tables(people, people, order, [F.col("id").desc(), F.col("age")])
-    assert not rows.equal_tables(numbered, numbered.limit(5)) and not rows.equal_tables(people, numbered)
+    assert not rows.equal_tables(numbered, numbered.where("v < 5"), [F.col("v")], [F.col("v")]) and not rows.equal_tables(people, numbered)
     spread = rows.flat_map(people, F.when(F.col("id") < 3, F.array(F.struct(F.lit(1).alias("x")), F.struct(F.lit(2).alias("x")))), "id")
     assert got(spread) == [(1, 1), (1, 2), (2, 1), (2, 1), (2, 2), (2, 2)]
 

@@ -240,3 +240,57 @@ def test_quoting_modes_of_readers(spark, lines_file):
     assert [r.a for r in readers.read_table(spark, path, infer.table_spec(columns, raw)).collect()] == ['"1"', "2 "]
     ignored = options.ParserOptions(quoting=options.NoQuoting(), ignore_quoting=True)
     assert [r.a for r in readers.read_table(spark, path, infer.table_spec(columns, ignored)).collect()] == ["1", "2"]
+
+
+def folder_of(tmp_path, **files):
+    for name, body in files.items():
+        (tmp_path / f"{name}.txt").write_text(body)
+    return str(tmp_path)
+
+
+def test_infers_from_a_folder_whose_files_have_headers(spark, tmp_path):
+    path = folder_of(tmp_path, a="id,x\n1,2\n", b="id,x\n2,3.5\n", c="", d="id,x\n3,\n")
+    spec = infer.infer_table(spark, path)
+    assert (spec.names, kinds(spec)) == (("id", "x"), ["Int", "Double"])
+    assert kinds(infer.infer_table(spark, path, options.RowGen(lines=2))) == ["Int", "Int"]
+    assert infer.text_table(spark, path).names == ("id", "x")
+    bare = options.RowGen(names=("id", "x"))
+    assert kinds(infer.infer_table(spark, path, bare)) == ["Text", "Text"]
+    assert sorted(r.id for r in readers.read_table(spark, path, spec).collect()) == [1, 2]
+
+
+def test_the_first_file_by_path_is_the_prefix(spark, tmp_path):
+    """Spark reads the largest file first."""
+    path = folder_of(tmp_path, **{"a b%20[1]": "k\n1\n2\n", "b": "k\n" + "x\n" * 500})
+    assert kinds(infer.infer_table(spark, path, options.RowGen(lines=3))) == ["Int"]
+    assert kinds(infer.infer_table(spark, path, options.RowGen(lines=4))) == ["Text"]
+
+
+def test_own_output_is_inferred_again(spark, tmp_path):
+    df = spark.range(100, numPartitions=7).select("id", (F.col("id") / 4).alias("x"))
+    dsv.write_dsv(df, str(tmp_path / "o"))
+    spec = infer.infer_table(spark, str(tmp_path / "o"))
+    assert kinds(spec) == ["Int", "Double"] and readers.read_table(spark, str(tmp_path / "o"), spec).count() == 100
+
+
+@pytest.mark.parametrize("split", ["128m", "20"])
+def test_places_follow_paths_and_lines(spark, tmp_path, split):
+    path = folder_of(tmp_path, a="x\n0\n1\n", b="x\n" + "".join(f"{n}\n" for n in range(2, 60)), c="x\n60\nbad\n61\n", d="", e="x\n62\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        got = readers.read_table(spark, path, infer.table_spec({"x": P.INT}), placed=True)
+        assert got.columns == ["x", "_row_id"] and sorted(map(tuple, got.collect())) == [(n, n) for n in range(63)]
+        maybe = readers.read_table_maybe(spark, path, infer.table_spec({"x": P.INT}), placed=True)
+        assert maybe.where("x is null").first()["_row_id"] == 61 and maybe.count() == 64
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_types_that_are_unsure_or_refuse(spark, lines_file):
+    year = P.ParseType("Year", P.INT.spark_type, lambda t: F.when(t.rlike("^[0-9]{4}$"), t.cast("bigint")), sure=lambda t: t.startswith("20"))
+    kind = lambda cells, t=year: kinds(infer.infer_table(spark, lines_file("x\n" + "\n".join(cells) + "\n"), options.RowGen(universe=(t, *P.COMMON))))
+    assert kind(["2001", "1999", "1850"]) == kind(["1999", "1850"]) == ["Year"]  # unsure cells do not count against it
+    assert kind(["1999", "7"]) == kind(["7", "1999"]) == ["Int"] and kind(["1999", ""]) == ["Text"]
+    few = P.ParseType("Few", P.TEXT.spark_type, lambda t: F.when(t.rlike("^[a-c]$"), t), combine=lambda seen: len(seen) < 3)
+    assert kind(["a", "b", "a"], few) == ["Few"] and kind(["a", "b", "c"], few) == ["Text"]
