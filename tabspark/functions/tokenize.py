@@ -36,4 +36,7 @@ def tokens_of(line: Column, options: ParserOptions) -> Column:
         return F.when(token.startswith(mark), F.replace(inner, F.lit(mark * 2), F.lit(mark))).otherwise(bare)
 
     # With a separator in front every token has one, so no match is empty.
-    return F.transform(F.regexp_extract_all(F.concat(F.lit(options.separator), line), F.lit(pattern), F.lit(1)), finish)
+    careful = F.transform(F.regexp_extract_all(F.concat(F.lit(options.separator), line), F.lit(pattern), F.lit(1)), finish)
+    # Without a quote a line is only split, and stripped where a token has outer white space.
+    padded = line.rlike(rf"(?U)\A\s|\s\z|{sep}\s|\s{sep}")
+    return F.when(line.contains(mark) | padded, careful).otherwise(F.split(line, sep, -1))

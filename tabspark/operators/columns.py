@@ -100,6 +100,15 @@ def append(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select(*[quoted(n) for n in df.columns], value.alias(name))
 
 
+def append_records(df: DataFrame, *records: str) -> DataFrame:
+    """The fields of some struct columns side by side, as columns: those of one record after those of another."""
+    require(df, *records, kind=T.StructType)
+    names = [f.name for r in records for f in df.schema[r].dataType.fields]
+    if len({n.lower() for n in names}) < len(names):
+        raise SchemaError(f"fields of several records: {names}")
+    return df.select(*[quoted(r).getField(f.name).alias(f.name) for r in records for f in df.schema[r].dataType.fields])
+
+
 def first_and_rest(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The first column alone, and the others."""
     if not df.columns:
@@ -141,6 +150,13 @@ def shown_fields(df: DataFrame, name: str = "shown") -> DataFrame:
     return df.select(F.array(*[show_literal(quoted(f.name), f.dataType) for f in df.schema.fields]).alias(name))
 
 
+def shown_field(df: DataFrame, name: str, parentheses: bool = False) -> Column:
+    """``name :-> literal`` of one column, in parentheses if wanted; null where the cell is."""
+    require(df, name)
+    text = F.concat(F.lit(f"{name} :-> "), show_literal(quoted(name), df.schema[name].dataType))
+    return F.concat(F.lit("("), text, F.lit(")")) if parentheses else text
+
+
 def headers(df: DataFrame) -> list[str]:
     return df.columns
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tabspark.errors import SchemaError
 from tabspark.operators.columns import require
 from tabspark.session import quoted
 
@@ -31,6 +35,20 @@ def fill(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
     return df.select(*[filled(n) if n in defaults else quoted(n) for n in df.columns])
 
 
+def map_cells(df: DataFrame, there: Callable[[Column], Column], gone: Column | None = None) -> DataFrame:
+    """The same function on every cell that is there, and ``gone`` (null by default) in the place of every missing one."""
+    return df.select(*[F.when(quoted(c).isNotNull(), there(quoted(c))).otherwise(F.lit(None) if gone is None else gone).alias(c) for c in df.columns])
+
+
+def zip_cells(df: DataFrame, first: str, second: str, combine: Callable[[Column, Column], Column]) -> DataFrame:
+    """Two struct columns of the same fields as one row: each cell is a function of both records' cells, missing ones too."""
+    require(df, first, second, kind=T.StructType)
+    fields = df.schema[first].dataType.fields
+    if [(f.name, f.dataType) for f in fields] != [(f.name, f.dataType) for f in df.schema[second].dataType.fields]:
+        raise SchemaError(f"{first!r} and {second!r} have different fields")
+    return df.select(*[combine(quoted(first).getField(f.name), quoted(second).getField(f.name)).alias(f.name) for f in fields])
+
+
 def contains_word(name: str, word: str) -> Column:
     """Whether a text holds a word, whatever the case."""
     return F.lower(quoted(name)).contains(word.lower())

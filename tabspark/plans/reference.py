@@ -45,7 +45,7 @@ GAPS = """(select o_orderkey, case when o_orderkey % 7 <> 0 then o_totalprice en
   case when o_orderkey % 5 <> 0 then o_orderpriority end as o_orderpriority from orders)"""
 
 
-def _written(df: DataFrame, opts: options.ParserOptions = options.ParserOptions(), quote_output: bool = False) -> str:
+def written(df: DataFrame, opts: options.ParserOptions = options.ParserOptions(), quote_output: bool = False) -> str:
     path = temporary_folder("dsv") + "/files"
     dsv.write_dsv(df, path, opts, quote_output)
     return path
@@ -461,25 +461,25 @@ NATION = {"n_nationkey": P.INT32, "n_name": P.TEXT, "n_regionkey": P.INT32}
 
 @query("select * from nation")
 def csv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
-    return readers.read_table(spark, _written(table(spark, folder, "nation")), infer.table_spec(NATION))
+    return readers.read_table(spark, written(table(spark, folder, "nation")), infer.table_spec(NATION))
 
 
 @query("select * from nation")
 def dsv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     opts = options.ParserOptions(separator="||")
-    return readers.read_table(spark, _written(table(spark, folder, "nation"), opts), infer.table_spec(NATION, opts))
+    return readers.read_table(spark, written(table(spark, folder, "nation"), opts), infer.table_spec(NATION, opts))
 
 
 @query("select event_id, user_id, event_type, value, props from events")
 def quoted_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     df = C.project(table(spark, folder, "events"), "event_id", "user_id", "event_type", "value", "props")
     spec = infer.table_spec({"event_id": P.INT, "user_id": P.INT, "event_type": P.TEXT, "value": P.DOUBLE, "props": P.TEXT})
-    return readers.read_table(spark, _written(df, quote_output=True), spec)
+    return readers.read_table(spark, written(df, quote_output=True), spec)
 
 
 @query("select 'c_custkey' as name, 'Int' as kind union all select 'c_name', 'Text' union all select 'c_acctbal', 'Double' union all select 'c_mktsegment', 'Categorical'")
 def infer_types(spark: SparkSession, folder: str) -> DataFrame:
-    path = _written(C.project(table(spark, folder, "customer"), "c_custkey", "c_name", "c_acctbal", "c_mktsegment"))
+    path = written(C.project(table(spark, folder, "customer"), "c_custkey", "c_name", "c_acctbal", "c_mktsegment"))
     spec = infer.infer_table(spark, path, options.categorical_row_gen())
     names = [(n, "Categorical" if "levels" in t.metadata else t.name) for n, t in zip(spec.names, spec.types, strict=True)]
     return to_frame(spark, names, "name string, kind string")
@@ -487,7 +487,7 @@ def infer_types(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("select c_custkey, c_name, c_acctbal from customer")
 def infer_and_read(spark: SparkSession, folder: str) -> DataFrame:
-    path = _written(C.project(table(spark, folder, "customer"), "c_custkey", "c_name", "c_acctbal"))
+    path = written(C.project(table(spark, folder, "customer"), "c_custkey", "c_name", "c_acctbal"))
     return readers.read_table(spark, path, infer.infer_table(spark, path))
 
 

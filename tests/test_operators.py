@@ -252,3 +252,17 @@ def test_only_needed_columns_are_read(spark, tmp_path):
     df = spark.read.parquet(str(tmp_path / "t"))
     plan = rows.filter_rows(C.project(df, "id", "b"), F.col("b") > 50)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<id:bigint,b:bigint>" in plan and "GreaterThan(b,50)" in plan
+
+
+def test_records_side_by_side_and_cell_maps(spark):
+    df = to_frame(spark, [((1, None), ("x", 2.0), (5, 6))], "a struct<p:int,q:int>, b struct<r:string,s:double>, c struct<p:int,q:int>")
+    assert C.append_records(df, "b", "a").columns == ["r", "s", "p", "q"] and tuple(C.append_records(df, "b", "a").first()) == ("x", 2.0, 1, None)
+    with pytest.raises(SchemaError):
+        C.append_records(df, "a", "c")
+    assert tuple(missing.zip_cells(df, "a", "c", F.coalesce).first()) == (1, 6)
+    with pytest.raises(SchemaError):
+        missing.zip_cells(df, "a", "b", F.coalesce)
+    flat = to_frame(spark, [(1, None, "k")], "p int, q int, t string")
+    assert tuple(missing.map_cells(flat, lambda c: c.cast("string"), F.lit("?")).first()) == ("1", "?", "k")
+    shown = flat.select(C.shown_field(flat, "t"), C.shown_field(flat, "p", True), C.shown_field(flat, "q", True)).first()
+    assert tuple(shown) == ('t :-> "k"', "(p :-> 1)", None)

@@ -8,10 +8,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
-from tabspark.plans import problems, reference
+from tabspark.plans import coverage, problems
 
 FOLDER = Path("/root/testdata/sf0.001")
-QUERIES, ORACLES = {**reference.QUERIES, **problems.QUERIES}, {**reference.ORACLES, **problems.ORACLES}
+QUERIES, ORACLES = {**coverage.QUERIES, **problems.QUERIES}, {**coverage.ORACLES, **problems.ORACLES}
 
 
 @pytest.fixture(scope="module")

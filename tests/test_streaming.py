@@ -1,12 +1,13 @@
 """File streams, windows over event time, and orphans kept up over micro-batches."""
 
 import datetime as dt
+import os
 
 from pyspark.sql import functions as F
 
 from tabspark.functions import parsing as P
 from tabspark.operators import orphans
-from tabspark.sources import infer
+from tabspark.sources import infer, readers
 from tabspark.sources.memory import empty_frame, to_frame
 from tabspark.streaming import tables
 
@@ -17,10 +18,31 @@ def test_stream_of_rows_to_lines(spark, tmp_path):
         (tmp_path / "in" / f"{n}.csv").write_text(body)
     spec = infer.table_spec({"k": P.INT, "v": P.TEXT})
     stream = tables.stream_table(spark, str(tmp_path / "in"), spec, files_per_batch=1)
-    tables.stream_to_dsv(stream.withColumn("k", F.col("k") * 2), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    doubled = stream.withColumn("k", F.col("k") * 2)
+    write = lambda: [tables.stream_to_dsv(doubled, str(tmp_path / f"out{h}"), str(tmp_path / f"cp{h}"), header=h).awaitTermination() for h in (True, False)]
+    write()
     (tmp_path / "in" / "2.csv").write_text("k,v\n5,e\n")
-    tables.stream_to_dsv(stream.withColumn("k", F.col("k") * 2), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == ["10,e", "2,a", "6,c"]
+    write()
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "outFalse")).collect()) == ["10,e", "2,a", "6,c"]
+    files = [p.read_text().splitlines() for p in (tmp_path / "outTrue").rglob("part-*")]
+    assert all(f[0] == "k,v" for f in files) and sorted(x for f in files for x in f[1:]) == ["10,e", "2,a", "6,c"]
+    assert sorted(r.k for r in readers.read_table(spark, str(tmp_path / "outTrue"), spec).collect()) == [2, 6, 10]
+
+
+def test_stream_places_limits_and_chunks(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    sizes, at = [3, 5, 1], 0
+    for n, size in enumerate(sizes):
+        (tmp_path / "in" / f"{n}.csv").write_text("k\n" + "".join(f"{k}\n" for k in range(at, at + size)))
+        os.utime(tmp_path / "in" / f"{n}.csv", (n, n))
+        at += size
+    seen = {}
+    stream = lambda: tables.stream_table(spark, str(tmp_path / "in"), infer.table_spec({"k": P.INT}), files_per_batch=1, placed=True)
+    keep = lambda name: lambda df, n: seen.setdefault(name, {}).__setitem__(n, sorted(map(tuple, df.collect())))
+    tables.stream_placed(stream(), str(tmp_path / "a"), keep("chunks"), size=4).awaitTermination()
+    assert sum(seen["chunks"].values(), []) == [(k, k, k // 4) for k in range(9)] and len(seen["chunks"]) == 3
+    tables.stream_placed(stream(), str(tmp_path / "b"), keep("middle"), 2, 7).awaitTermination()
+    assert sum(seen["middle"].values(), []) == [(k, k) for k in range(2, 7)]
 
 
 def test_maybe_and_either_streams(spark, tmp_path):
