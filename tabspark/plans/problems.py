@@ -11,7 +11,6 @@ from tabspark.operators import orphans, profile, rejects, timestamps
 
 Query = Callable[[SparkSession, str], DataFrame]
 LOAD_KEYS = ["feed_no", "load_no"]
-STATED = {"oil_vol": profile.NUMBER, "gas_vol": profile.NUMBER, "well_status": profile.TWO_LETTERS}
 LINKS = orphans.Names("manager_id", "entered_at", "id", "created_at", "deleted_at")
 
 
@@ -20,7 +19,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _three_columns(spark: SparkSession, folder: str) -> profile.LoadProfile:
-    return profile.LoadProfile(table(spark, folder, "issue114"), *LOAD_KEYS, list(STATED), STATED, ["oil_vol", "gas_vol"])
+    return profile.LoadProfile(table(spark, folder, "issue114"), *LOAD_KEYS, ["oil_vol", "gas_vol", "well_status"], ["oil_vol", "gas_vol"])
 
 
 def _all_columns(spark: SparkSession, folder: str) -> profile.LoadProfile:
@@ -29,14 +28,12 @@ def _all_columns(spark: SparkSession, folder: str) -> profile.LoadProfile:
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The loads that differ from the load before, where well-formed is what the columns' induced expressions take."""
     return _three_columns(spark, folder).changes(["well_status"]).withColumnsRenamed({"feed": "feed_no", "load": "load_no"})
 
 
 def p1_changes(spark: SparkSession, folder: str) -> DataFrame:
-    """How each load differs from the load before in every column, where well-formed is what the induced expressions cover.
-
-    Text columns but the volumes are compared as categories, all others as numbers.
-    """
+    """As p1_found, over every column. Text columns but the volumes are compared as categories, all others as numbers."""
     df = table(spark, folder, "issue114")
     text = [c for c, kind in df.dtypes if kind == "string" and c not in ("oil_vol", "gas_vol")]
     return _all_columns(spark, folder).changes(text).withColumnsRenamed({"feed": "feed_no", "load": "load_no"})
@@ -44,17 +41,21 @@ def p1_changes(spark: SparkSession, folder: str) -> DataFrame:
 
 def p1_profile(spark: SparkSession, folder: str) -> DataFrame:
     """Standard aggregates of every column per load."""
-    columns = ["feed", "load", "column_name", "n_rows", "n_missing", "n_distinct", "minimum", "maximum"]
-    return _all_columns(spark, folder).summary().select(*columns)
+    return _all_columns(spark, folder).standard()
 
 
 def p1_coverage(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of every column per load that the column's induced expressions cover."""
+    """Rows of every column per load that the column's expressions take, and those that they do not."""
     return _all_columns(spark, folder).summary().select("feed", "load", "column_name", "n_conforming", "n_ill")
 
 
+def p1_coverage_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """The loads of which every column's expressions take another share than of the load before."""
+    return _all_columns(spark, folder).coverage_changes()
+
+
 def p1_expressions(spark: SparkSession, folder: str) -> DataFrame:
-    """The induced expressions of every column."""
+    """The induced expressions of every text column, with the number of shapes that each takes."""
     found = _all_columns(spark, folder).expressions().where("expression is not null")
     return found.groupBy("column_name", "expression").agg(F.count(F.lit(1)).alias("shapes"))
 
@@ -112,6 +113,7 @@ QUERIES: dict[str, Query] = {
     "p1_changes": p1_changes,
     "p1_profile": p1_profile,
     "p1_coverage": p1_coverage,
+    "p1_coverage_changes": p1_coverage_changes,
     "p1_expressions": p1_expressions,
     "p3_found": p3_found,
     "p3_status": p3_status,

@@ -130,11 +130,11 @@ def test_medians_with_weights(spark):
     assert selection.exact_medians(df, ["g"], "x", "w").first().median == np.median(values)
 
 
-def changes(spark, cases, stated=profile.NUMBER, numeric=("c",), categories=()):
+def changes(spark, cases, numeric=("c",), categories=()):
     """Findings of each case; a case is the loads of a feed of its own."""
     rows = [(feed, n, v) for feed, loads in enumerate(cases) for n, values in enumerate(loads, 1) for v in values]
     df = to_frame(spark, rows, "feed bigint, load bigint, c string")
-    found = profile.LoadProfile(df, "feed", "load", ["c"], {"c": stated}, list(numeric)).changes(list(categories)).collect()
+    found = profile.LoadProfile(df, "feed", "load", ["c"], list(numeric)).changes(list(categories)).collect()
     return [sorted((r.load, r.finding) for r in found if r.feed == feed) for feed in range(len(cases))]
 
 
@@ -166,28 +166,57 @@ def test_category_distance(spark):
         ([first, ["CC"] * 100], [(2, "distribution")]),
         ([first, [None] * 100], [(2, "distinct_count"), (2, "null_share")]),
     ]
-    assert changes(spark, [c for c, _ in cases], profile.TWO_LETTERS, (), ("c",)) == [e for _, e in cases]
+    assert changes(spark, [c for c, _ in cases], (), ("c",)) == [e for _, e in cases]
+
+
+def induced(spark, columns, loads=1):
+    """The expressions of each column whose values are a list, the same in all loads, or a list for each load."""
+    rows = [(load, c, v) for c, values in columns.items() for load in range(loads) for v in (values[load] if isinstance(values[0], list) else values)]
+    df = to_frame(spark, rows, "load int, column_name string, value string").withColumn("shape", profile.shape_of(F.col("value")))
+    shapes = df.groupBy("load", "column_name", "shape").agg(F.count_distinct("value").alias("d"), F.count(F.lit(1)).alias("n"))
+    found = profile.induce_expressions(shapes, ["load"]).where("expression is not null").select("column_name", "expression").distinct().collect()
+    return {c: sorted(r.expression for r in found if r.column_name == c) for c in columns}
 
 
 def test_expressions_by_description_length(spark):
     rng = random.Random(4)
-    values = [f"{rng.randrange(100, 1000)}.{rng.randrange(10)}" for _ in range(300)] + ["n/a?", "oops: broken cell", None]
     words = ["".join(rng.choice("abcdefghij") for _ in range(n)) for n in range(1, 40)]
-    df = to_frame(spark, [("n", v) for v in values] + [("w", w) for w in words], "column_name string, value string")
-    found = profile.induce_expressions(df).collect()
-    chosen = {(r.column_name, r.expression) for r in found if r.expression}
-    assert ("n", r"\A[0-9][0-9][0-9]\.[0-9]\z") in chosen and ("w", r"\A[a-z]+\z") in chosen
-    assert [r.shape for r in found if r.column_name == "n" and not r.expression] == [r"a\/a\?"]
-    fits = lambda c, v: any(re.fullmatch(e[2:-2], v) for k, e in chosen if k == c)
-    assert all(fits("w", w) for w in words) and all(fits("n", v) for v in values[:300]) and not fits("n", "n/a?")
-    assert profile.induce_expressions(df.limit(0)).count() == 0
+    whole, real = [str(n) for n in range(300)], [f"{rng.randrange(5000)}.{rng.randrange(10)}" for _ in range(300)]
+    names = [" ".join("".join(rng.choice("ABCdefg") for _ in range(rng.randrange(3, 9))) for _ in range(rng.randrange(2, 9))) for _ in range(200)]
+    got = induced(spark, {
+        "code": [f"{n:05d}" for n in range(300)] + ["n/a?"], "n": whole + real + ["-5", "1.2.3", "~4", "+5", "see note"], "w": words, "pair": ["AB", "CD", "XY"] * 50 + ["LONGER"],
+        "date": [f"{y}-{m:02d}-01" for y in range(2000, 2020) for m in range(1, 13)], "names": [*names, "a,b", "x_9"], "none": [None, None], "odd": ["a/b.c|d", "1+2=3", "{x}", "#%&", "~!@$"],
+    })
+    number, union = r"\A-?[0-9]+(\.[0-9]+)?\z", r"\A[A-Za-z\s]+\z"
+    assert got["code"] == [r"\A[0-9][0-9][0-9][0-9][0-9]\z"] and got["n"] == [number] and got["pair"] == [r"\A[A-Z][A-Z]\z"]
+    assert got["w"] == [r"\A[a-z]+\z"] and got["date"] == [r"\A[0-9][0-9][0-9][0-9]\-[0-9][0-9]\-[0-9][0-9]\z"]
+    assert len(got["names"]) == 1 and all(re.fullmatch(e[2:-2], n) for e in got["names"] for n in names) and not re.fullmatch(got["names"][0][2:-2], "a,b"), union
+    assert got["none"] == []
+    assert profile.induce_expressions(to_frame(spark, [], "load int, column_name string, shape string, d bigint, n bigint"), ["load"]).count() == 0
+
+
+def test_a_minority_of_bad_loads_bends_nothing(spark):
+    good, bad = [f"{n}.5" for n in range(200)], [f"{n}.5 bbl" for n in range(200)]
+    rare = [f"{n}.5" for n in range(200)] + ["tr"]
+    assert induced(spark, {"c": [good, bad, rare, rare, rare]}, 5)["c"] == [r"\A-?[0-9]+(\.[0-9]+)?\z"]
+    assert induced(spark, {"c": [good, bad, bad]}, 3)["c"] == [r"\A[0-9]+\.[0-9]+\s+[a-z]+\z"]
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
+def test_induced_expressions_are_the_stated_forms(spark, scale):
+    p = problems._three_columns(spark, f"/root/testdata/{scale}")
+    taken = p.values.where("value is not null").join(p.expressions(), ["column_name", "shape"]).select("column_name", "value", F.col("expression").isNotNull().alias("taken"), "expression")
+    stated = F.when(F.col("column_name") == "well_status", F.col("value").rlike(r"\A[A-Z]{2}\z")).otherwise(F.col("value").rlike(r"\A-?[0-9]+(\.[0-9]+)?\z"))
+    assert taken.count() > 300 and taken.where((F.col("taken") != stated) | F.expr("taken and not value rlike expression")).count() == 0
 
 
 def test_every_induced_expression_covers_its_shape(spark):
-    odd = ["a b", "a\tb", "é9", "x|y", "(1)", "A.B*C", "[z]", "\\", "+5", "9+9", "数字 12"]
+    odd = ["5", "-5.25", "Word", "a b", "a\tb", "é9", "x|y", "(1)", "A.B*C", "[z]", "\\", "+5", "9+9", "数字 12"]
     df = to_frame(spark, [(v,) for v in odd], "value string")
-    got = df.select("value", profile.as_expression(profile.shape_of(F.col("value"))).alias("tight"), profile.as_expression(profile.loosened(profile.shape_of(F.col("value")))).alias("loose"))
-    assert got.where(~F.expr("value rlike tight") | ~F.expr("value rlike loose")).count() == 0
+    shape = profile.shape_of(F.col("value"))
+    forms = {"tight": shape, "loose": profile.loosened(shape), "general": profile.generalised(profile.loosened(shape))}
+    got = df.select("value", *[profile.as_expression(c).alias(n) for n, c in forms.items()], profile.as_class(profile._symbols(shape)).alias("class"))
+    assert [r.value for r in got.where("not (value rlike tight and value rlike loose and value rlike general and value rlike class)").collect()] == []
 
 
 def test_profile_edge_tables(spark):
