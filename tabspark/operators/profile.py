@@ -16,7 +16,7 @@ from pyspark.sql.types import NumericType, StringType
 
 from tabspark.errors import SchemaError
 from tabspark.operators.selection import exact_medians, salted_join
-from tabspark.session import cut_lineage, quoted
+from tabspark.session import cut_lineage, pinned, quoted
 
 NUMBER = r"\A-?[0-9]+(\.[0-9]+)?\z"
 # Character classes as (symbol in a shape, class, bits to name one member).
@@ -270,11 +270,13 @@ class LoadProfile:
             return F.when(~F.isnan(value), value)
 
         by = [quoted(k).alias(f"k{i}") for i, k in enumerate(self.keys)]
+        # Worked out before they are aggregated: otherwise each aggregate does it again, in code too long to be compiled.
+        worked = self.df.select(*by, *[x for i, c in enumerate(self.columns) for x in (there[c].isNotNull().alias(f"there{i}"), pinned(number(c)).alias(f"number{i}"))])
         facts = [F.count(F.lit(1)).alias("n")]
-        for i, c in enumerate(self.columns):
-            facts += [F.count(there[c]).alias(f"there{i}"), F.min(number(c)).alias(f"lo{i}"), F.max(number(c)).alias(f"hi{i}")]
-        wide = self.df.groupBy(*by).agg(*facts)
-        each = [F.struct(F.lit(c).alias("column_name"), F.col(f"there{i}").alias("there"), F.col(f"lo{i}").alias("minimum"), F.col(f"hi{i}").alias("maximum")) for i, c in enumerate(self.columns)]
+        for i in range(len(self.columns)):
+            facts += [F.count_if(F.col(f"there{i}")).alias(f"there{i}"), F.min(f"number{i}").alias(f"lo{i}"), F.max(f"number{i}").alias(f"hi{i}")]
+        wide = worked.groupBy("k0", "k1").agg(*facts)
+        each = [F.struct(F.lit(i).cast("smallint").alias("c"), F.lit(c).alias("column_name"), F.col(f"there{i}").alias("there"), F.col(f"lo{i}").alias("minimum"), F.col(f"hi{i}").alias("maximum")) for i, c in enumerate(self.columns)]
         wide = wide.select("k0", "k1", F.col("n").alias("n_rows"), F.explode(F.array(*each)).alias("e")).select("k0", "k1", "n_rows", "e.*")
 
         # Whole numbers and doubles as they are (their bytes compress), all else by hash.
@@ -282,9 +284,8 @@ class LoadProfile:
         cells = [F.when(there[c].isNotNull(), F.struct(F.lit(i).cast("smallint").alias("c"), as_long(c).alias("v"))) for i, c in enumerate(self.columns)]
         long = self.df.select(*by, F.explode(F.array(*cells)).alias("x")).where("x is not null").select("k0", "k1", "x.c", "x.v")
         distinct = long.distinct().groupBy("k0", "k1", "c").agg(F.count(F.lit(1)).alias("n_distinct"))
-        names = F.element_at(F.create_map(*[F.lit(x) for i, c in enumerate(self.columns) for x in (i, c)]), F.col("c").cast("int"))
-        distinct = distinct.select(F.col("k0").alias("_k0"), F.col("k1").alias("_k1"), names.alias("_c"), "n_distinct")
-        same = F.col("k0").eqNullSafe(F.col("_k0")) & F.col("k1").eqNullSafe(F.col("_k1")) & (F.col("column_name") == F.col("_c"))
+        distinct = distinct.select(F.col("k0").alias("_k0"), F.col("k1").alias("_k1"), F.col("c").alias("_c"), "n_distinct")
+        same = F.col("k0").eqNullSafe(F.col("_k0")) & F.col("k1").eqNullSafe(F.col("_k1")) & (F.col("c") == F.col("_c"))
         both = wide.join(distinct, same, "left")
         return both.select(
             F.col("k0").alias("feed"), F.col("k1").alias("load"), "column_name", "n_rows", (F.col("n_rows") - F.col("there")).alias("n_missing"),
