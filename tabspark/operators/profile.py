@@ -8,6 +8,7 @@ no expression: their type is one.
 
 from __future__ import annotations
 
+import string
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -48,9 +49,11 @@ def value_counts(df: DataFrame, keys: list[str], columns: list[str]) -> DataFram
 
 def shape_of(value: Column) -> Column:
     """The text with each character replaced by its class's symbol, and other characters by themselves after a backslash."""
-    out = F.regexp_replace(value, r"([\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E\x00-\x08\x0E-\x1B\x7F])", r"\\$1")
-    out = F.regexp_replace(F.regexp_replace(out, r"\s", "␣"), r"[^\x00-\x7F␣]", "ä")
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(out, "[0-9]", "9"), "[A-Z]", "A"), "[a-z]", "a")
+    out = F.translate(value, string.digits + string.ascii_uppercase + string.ascii_lowercase, "9" * 10 + "A" * 26 + "a" * 26)
+    marked = F.regexp_replace(out, r"([\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E\x00-\x08\x0E-\x1B\x7F])", r"\\$1")
+    whole = F.regexp_replace(F.regexp_replace(marked, r"\s", "␣"), r"[^\x00-\x7F␣]", "ä")
+    # Most values need only the first steps.
+    return F.when(out.rlike(r"\A[9Aa]*\z"), out).when(out.rlike(r"\A[\x21-\x7E]*\z"), marked).otherwise(whole)
 
 
 def loosened(shape: Column) -> Column:
@@ -147,8 +150,8 @@ def induce_expressions(shapes: DataFrame, keys: list[str], support: float = 0.05
     priced = priced.withColumn("tight", F.col("code") + F.col("values")).withColumn("top", F.when(inside, as_class_bits).otherwise(F.col("any")))
     priced = priced.withColumn("wordy", F.col("values") + d * F.col("in_words")).withColumn("below", F.least("tight", "any"))
     priced = priced.withColumn("lengths_seen", F.lit(1).cast("bigint"))
-    # The next two steps sum within these partitions; after them only votes move.
-    priced = priced.repartition(*at, "general")
+    # Written once, as each of the steps below reads it: the next two sum within these partitions, then only votes move.
+    priced = cut_lineage(priced.drop("chars", "char_bits", "any_value", "in_words", "members", "lengths").withColumn("inside", inside)).repartition(*at, "general")
 
     def summed(df: DataFrame, by: list[str], code: str) -> DataFrame:
         """The sums of a form over its parts, or those of the one part that holds nearly all of its rows."""
@@ -184,7 +187,7 @@ def induce_expressions(shapes: DataFrame, keys: list[str], support: float = 0.05
         return costs.groupBy(*by).agg(chosen.alias(f"{name}_chosen"), F.sum(pays.cast("int")).alias(f"{name}_pays"))
 
     tight_pays = (F.col("tight") < F.col("any")) & (F.col("n") >= support * F.col("total"))
-    tight = priced.groupBy(*level, "shape").agg(F.sum(tight_pays.cast("int")).alias("tight_pays"), F.max(inside).alias("inside"))
+    tight = priced.groupBy(*level, "shape").agg(F.sum(tight_pays.cast("int")).alias("tight_pays"), F.max("inside").alias("inside"))
     by_loose, by_general = votes(one, level, "loose"), votes(two, ["column_name", "general"], "general")
     by_column = votes(three, ["column_name"], "top").join(charset.select("column_name", "charset", "loads"), "column_name")
     # A loose or general form has one row here and may have many shapes there: hot ones are spread over their shapes.
