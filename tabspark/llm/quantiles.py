@@ -24,6 +24,7 @@ from tabspark.session import quoted
 
 FAN_IN = 64
 CHUNK = 65_536
+MOST_WAITING = 1 << 20  # numbers of a partition that wait to be summarised, over all groups
 
 
 @dataclass
@@ -106,6 +107,19 @@ def _row(s: Summary) -> list:
     return [s.n, s.level, s.values.tolist(), s.low.tolist(), s.high.tolist()]
 
 
+def group_codes(keys: list[pa.Array], rows: int) -> tuple[np.ndarray, list[tuple]]:
+    """A number for each row that is equal for equal keys (nulls are equal), and the keys of each number."""
+    if not keys:
+        return np.zeros(rows, np.int64), [()]
+    codes = np.zeros(rows, np.int64)
+    for key in keys:
+        encoded = key.dictionary_encode("encode")
+        # Numbered anew after each key, so that the product stays within the square of the rows.
+        codes = np.unique(codes * max(len(encoded.dictionary), 1) + encoded.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    first = np.unique(codes, return_index=True)[1]
+    return codes, list(zip(*[key.take(pa.array(first)).to_pylist() for key in keys], strict=True))
+
+
 def summarise(df: DataFrame, groups: list[str], measures: list[str], error: float = 0.005) -> DataFrame:
     """(groups, measure, part, n, level, values, low, high): one summary per input partition, group and measure.
 
@@ -124,19 +138,12 @@ def summarise(df: DataFrame, groups: list[str], measures: list[str], error: floa
 
     def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list] = {}
-        part = 0
+        part, waiting = 0, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             part = batch.column(batch.num_columns - 1)[0].as_py()
-            keys = pa.Table.from_batches([batch]).select(groups)
-            if groups:
-                distinct = keys.group_by(groups, use_threads=False).aggregate([]).to_pylist()
-                number = {tuple(k.values()): i for i, k in enumerate(distinct)}
-                codes = np.fromiter((number[k] for k in zip(*[c.to_pylist() for c in keys.columns], strict=True)), np.int64, batch.num_rows)
-                names = list(number)
-            else:
-                codes, names = np.zeros(batch.num_rows, np.int64), [()]
+            codes, names = group_codes([batch.column(i) for i in range(len(groups))], batch.num_rows)
             for i, measure in enumerate(measures):
                 x = batch.column(len(groups) + i).to_numpy(zero_copy_only=False).astype(float) + 0.0
                 good = ~np.isnan(x)
@@ -146,8 +153,14 @@ def summarise(df: DataFrame, groups: list[str], measures: list[str], error: floa
                     entry = held.setdefault((names[g], measure), [[], 0, None])
                     entry[0].append(values)
                     entry[1] += len(values)
+                    waiting += len(values)
                     if entry[1] >= CHUNK:
+                        waiting -= entry[1]
                         _fold(entry)
+            if waiting >= MOST_WAITING:
+                for entry in held.values():
+                    _fold(entry)
+                waiting = 0
         rows = []
         for (key, measure), entry in held.items():
             _fold(entry)
