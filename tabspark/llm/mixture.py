@@ -17,6 +17,8 @@ from tabspark.llm.tokens import Vocabulary, encode_corpus
 from tabspark.session import cut_lineage, quoted
 
 MOST_SOURCES = 10_000
+#: Parts of a queue grow with the tokens, up to a number whose sums still fit one task.
+PART_TOKENS, MOST_PARTS = 100_000_000, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -44,6 +46,15 @@ def level_for(budget: float, totals: dict[str, int], targets: dict[str, Target])
     return now
 
 
+def largest_budget(totals: dict[str, int], targets: dict[str, Target]) -> int:
+    """The tokens of the largest mixture in which every source that has tokens reaches its share of it.
+
+    Sources without tokens give nothing; the others have their shares of what the mixture then holds.
+    """
+    given = sum(targets[s].share for s in totals)
+    return int(min((totals[s] * targets[s].repeats / targets[s].share for s in totals), default=0) * given + 1e-6)
+
+
 def running(df: DataFrame, by: list[str], part: str, order: list, size: str, out: str) -> DataFrame:
     """Adds ``out``: the sum of ``size`` over the rows of ``by`` up to and with each, parts in order, rows by ``order`` in a part."""
     sums = df.groupBy(*by, part).agg(F.sum(size).alias("_sum"))
@@ -55,23 +66,25 @@ def running(df: DataFrame, by: list[str], part: str, order: list, size: str, out
 
 def mix_sources(
     df: DataFrame, key: str, text: str, source: str, targets: dict[str, Target], budget: int | None = None,
-    seed: int = 42, parts: int = 4096, vocabulary: Vocabulary = Vocabulary(),
+    seed: int = 42, parts: int | None = None, vocabulary: Vocabulary = Vocabulary(),
 ) -> tuple[DataFrame, DataFrame]:
     """The mixture and the report of its shares.
 
     Mixture: (doc_id, source, copy, n_tokens, finish, running_tokens) in order of finish, one row per use of a document;
     copy counts from 0. Report: (source, target_share, max_repeats, available_tokens, mixed_tokens, actual_share, uses).
 
-    ``budget`` is the mixture's size in tokens; by default as many as the sources of ``targets`` hold once. A source that
-    is used up ``max_repeats`` times gives no more; the others then share the rest by their weights. Documents of other
+    ``budget`` is the mixture's size in tokens; by default the largest at which every source with tokens reaches its share,
+    so that only sources without any fall short. A source that is used up ``max_repeats`` times gives no more; with a larger
+    budget the others then share the rest by their weights. Documents of other
     or null sources, and those without tokens (null or empty text), take no part. ``key`` should be unique: repeated keys
     are all used, their order among themselves is by size. An empty table gives an empty mixture and a report of zeros.
     """
     slim = df.select(quoted(key).alias("doc_id"), quoted(source).alias("source"), quoted(text).alias("text")).where(F.col("source").isin(list(targets)))
     sized = cut_lineage(encode_corpus(slim, "text", vocabulary, None, "n_tokens").where("n_tokens > 0"))
     totals = {r.source: int(r.t) for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}  # at most one row per target
-    budget = sum(totals.values()) if budget is None else budget
+    budget = largest_budget(totals, targets) if budget is None else budget
     level = level_for(budget, totals, targets)
+    parts = parts or int(min(max(4096, sum(totals.values()) // PART_TOKENS), MOST_PARTS))
 
     lookup = lambda f: F.element_at(F.create_map(*[F.lit(x) for s in (totals or {"": 0}) for x in (s, f(s))]), F.col("source"))
     weight = lookup(lambda s: targets[s].share if s in targets else 1.0)

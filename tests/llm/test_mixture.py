@@ -24,12 +24,11 @@ def test_level():
 
 
 def test_shares_and_caps(spark):
-    mixture, report = mix_sources(corpus(spark, {"big": 600, "small": 60, "tiny": 20, "other": 50, None: 5}), "doc_id", "text", "source", TARGETS, parts=16)
+    mixture, report = mix_sources(corpus(spark, {"big": 600, "small": 60, "tiny": 20, "other": 50, None: 5}), "doc_id", "text", "source", TARGETS, 2500, parts=16)
     rows, facts = mixture.collect(), {r.source: r for r in report.collect()}
     assert set(facts) == set(TARGETS) and facts["none"].mixed_tokens == 0 and facts["none"].available_tokens == 0
-    budget = sum(f.available_tokens for f in facts.values())
     total = sum(r.n_tokens for r in rows)
-    assert budget - 10 <= total <= budget
+    assert 2490 <= total <= 2500
     for name in ("small", "tiny"):  # used up: all of it, as often as it may be
         assert facts[name].mixed_tokens == facts[name].available_tokens * TARGETS[name].repeats
     uses = Counter((r.source, r.doc_id) for r in rows)
@@ -39,6 +38,17 @@ def test_shares_and_caps(spark):
     assert [r.finish for r in rows] == sorted(r.finish for r in rows)
 
 
+def test_default_budget_meets_all_shares(spark):
+    """All but the source without documents, within one document."""
+    mixture, report = mix_sources(corpus(spark, {"big": 600, "small": 60, "tiny": 20}), "doc_id", "text", "source", TARGETS)
+    facts = {r.source: r for r in report.collect()}
+    whole = sum(f.mixed_tokens for f in facts.values())
+    assert whole > 500 and facts["none"].mixed_tokens == 0
+    for name in ("big", "small", "tiny"):
+        assert abs(facts[name].mixed_tokens - whole * TARGETS[name].share / 0.9) <= 16
+    assert any(f.mixed_tokens >= f.available_tokens * f.max_repeats - 16 for f in facts.values() if f.available_tokens)
+
+
 def test_exact_shares_within_a_document(spark):
     targets = {"big": Target(0.75, 1), "small": Target(0.25, 4)}
     _, report = mix_sources(corpus(spark, {"big": 500, "small": 80}), "doc_id", "text", "source", targets, budget=1200, parts=8)
