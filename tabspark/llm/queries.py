@@ -43,6 +43,13 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, folder, "documents").select("doc_id", "text"), "text")
 
 
+def p7_joined(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of long texts: the texts of each five thousand consecutive doc_id (so many at most), joined by line breaks."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", F.floor((F.col("doc_id") - 1) / 5000).alias("joined"))
+    together = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), "\n")
+    return tokens.encode_corpus(docs.groupBy("joined").agg(together.alias("text")), "text")
+
+
 def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     targets = mixture.read_targets(table(spark, folder, "mix_targets"))
     return mixture.mix_sources(table(spark, folder, "documents"), "doc_id", "text", "source", targets)
@@ -78,7 +85,7 @@ def p9_fertility(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p2_percentiles, p2_daily, p4_found, p7_ids, p8_mixture, p8_records, p8_shares, p9_found, p9_share, p9_fertility)
+    f.__name__: f for f in (p2_percentiles, p2_daily, p4_found, p7_ids, p7_joined, p8_mixture, p8_records, p8_shares, p9_found, p9_share, p9_fertility)
 }
 
 _SHARE_SQL = r"""

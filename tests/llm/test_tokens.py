@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tabspark.errors import SchemaError
 from tabspark.llm import queries
@@ -41,6 +42,40 @@ def test_long_texts_are_divided():
     assert K.encode_batch([text], VOCABULARY)[0].tolist() == whole(text)
 
 
+def test_time_of_texts_without_boundaries():
+    """Each stretch is looked at again at twice the length only."""
+    looked, tokenizer = [], K.load_tokenizer(VOCABULARY.file)
+
+    class Counting:
+        class pre_tokenizer:  # noqa: N801
+            @staticmethod
+            def pre_tokenize_str(text):
+                looked.append(len(text))
+                return tokenizer.pre_tokenizer.pre_tokenize_str(text)
+
+    assert len(K.divide(Counting, "x" * 100_000, 100, 20)) == 1 and sum(looked) < 300_000
+
+
+def awkward(rng, n):
+    alphabet = ["a", "b", " ", " ", "\n", "'s", "'", "1", ".", "!", "é", "漢", "🙂", "  ", "word", "\t"]
+    return "".join(rng.choice(alphabet) for _ in range(n))
+
+
+@pytest.mark.parametrize(("chunk", "overlap"), [(40, 12), (64, 40)])
+def test_chunks_over_tasks_give_the_ids_of_the_whole(spark, chunk, overlap):
+    rng = random.Random(chunk)
+    texts = [awkward(rng, rng.randrange(600)) for _ in range(150)] + ["x" * 500, " " * 500, "a" * 200 + " b" * 100, "\n " * 200, "1" * 333 + "," * 333, *SAMPLES, None]
+    small = K.Vocabulary(chunk=chunk, overlap=overlap)
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string").repartition(5)
+    got = {r.k: r for r in K.encode_corpus(df, "text", small, count="n").collect()}
+    assert {k: r.ids for k, r in got.items()} == {k: whole(t or "") for k, t in enumerate(texts)} and all(r.n == len(r.ids) for r in got.values())
+    counted = {r.k: r.n for r in K.encode_corpus(df, "text", small, None, "n").collect()}
+    assert counted == {k: r.n for k, r in got.items()}
+    # Most long texts go through chunks of their own.
+    longer = df.where(F.char_length("text") > chunk + overlap).select(F.col("k").cast("bigint").alias("row"), "text")
+    assert K.cut_chunks(longer, small).groupBy("row").count().agg(F.max("count")).first()[0] > 5
+
+
 def test_decoding_gives_the_text_back():
     for text in SAMPLES:
         assert K.decode(K.encode_batch([text], VOCABULARY)[0].tolist(), VOCABULARY) == text
@@ -67,3 +102,11 @@ def test_query(spark):
     folder = "/root/testdata/sf0.001"
     docs = {r.doc_id: r.text for r in queries.table(spark, folder, "documents").collect()}
     assert {r.doc_id: r.ids for r in queries.p7_ids(spark, folder).collect()} == {k: whole(t or "") for k, t in docs.items()}
+
+
+def test_joined_documents(spark):
+    folder = "/root/testdata/sf0.01"
+    got = queries.p7_joined(spark, folder).collect()
+    docs = sorted((r.doc_id, r.text or "") for r in queries.table(spark, folder, "documents").collect())
+    joined = "\n".join(t for _, t in docs)
+    assert [len(r.ids) for r in got] == [len(whole(joined))] and got[0].ids == whole(joined) and len(joined) > 150_000
