@@ -86,11 +86,10 @@ def encode_batch(texts: list[str | None], vocabulary: Vocabulary) -> tuple[np.nd
             parts = divide(tokenizer, text, vocabulary.chunk, vocabulary.overlap)
             pieces += parts
             owner += [n] * len(parts)
-    ids = [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-    counts = np.bincount(np.array(owner, np.int64), lengths, len(texts)).astype(np.int64) if len(ids) else np.zeros(len(texts), np.int64)
-    flat = np.concatenate([np.asarray(e, np.int32) for e in ids]) if len(ids) else np.zeros(0, np.int32)
-    return flat, counts
+    ids = pa.array([e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)], pa.list_(pa.int32()))
+    lengths = np.diff(ids.offsets.to_numpy())
+    counts = np.bincount(np.array(owner, np.int64), lengths, len(texts)).astype(np.int64)
+    return ids.values.to_numpy(), counts
 
 
 def decode(ids: list[int], vocabulary: Vocabulary) -> str:
