@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabspark.operators import orphans, profile, rejects, timestamps
+from tabspark.session import temporary_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 LOAD_KEYS = ["feed_no", "load_no"]
@@ -93,19 +94,35 @@ def p5_valid(name: str) -> Query:
     return query
 
 
-def _orphans(spark: SparkSession, folder: str) -> orphans.OrphanState:
+def _orphans(spark: SparkSession, folder: str) -> orphans.OrphanStore:
+    """The store after employees and managers have come year by year, as they did: a manager's row comes in the year it
+    begins, with no end if that is later, and again in the year it ends. Employees without a time come first.
+    """
     refs = table(spark, folder, "employees").select("id", "manager_id", "entered_at")
-    return orphans.advance(None, refs, table(spark, folder, "managers").select("id", "created_at", "deleted_at"), LINKS)
+    parents = table(spark, folder, "managers").select("id", "created_at", "deleted_at")
+    store = orphans.OrphanStore(spark, temporary_folder("orphans", spark), LINKS, refs.schema, parents.schema, 8)
+    span = lambda df, *columns: df.select(F.explode(F.array(*[F.year(c) for c in columns])).alias("y")).agg(F.min("y").alias("a"), F.max("y").alias("b")).first()
+    ends = [span(refs, "entered_at"), span(parents, "created_at", "deleted_at")]
+    first = min((e.a for e in ends if e.a is not None), default=0)
+    came = F.coalesce(F.year("created_at"), F.lit(first))
+    # All rows of a key and beginning come again when one of them changes, so that they stand side by side.
+    events = parents.select(F.col("id").alias("_k"), F.col("created_at").alias("_b"), F.explode(F.array(came, F.year("deleted_at"))).alias("_y")).distinct()
+    same = F.col("id").eqNullSafe(F.col("_k")) & F.col("created_at").eqNullSafe(F.col("_b"))
+    for year in range(first, max((e.b for e in ends if e.b is not None), default=0) + 1):
+        known = parents.where(came <= year).withColumn("deleted_at", F.when(F.year("deleted_at") <= year, F.col("deleted_at")))
+        new_parents = known.join(events.where(F.col("_y") == year), same, "left_semi")
+        store.deliver(refs.where(F.coalesce(F.year("entered_at"), F.lit(first)) == year), new_parents, year)
+    return store
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    found = orphans.pending(_orphans(spark, folder))
+    found = _orphans(spark, folder).waiting()
     return found.select("id", "manager_id", F.date_format("entered_at", "yyyy-MM").alias("period"), "cause").distinct()
 
 
 def p6_report(spark: SparkSession, folder: str) -> DataFrame:
     """Orphan references of employees per month and cause, rows counted as delivered."""
-    return orphans.snapshot(_orphans(spark, folder), LINKS, "employees")
+    return _orphans(spark, folder).snapshot("employees")
 
 
 QUERIES: dict[str, Query] = {

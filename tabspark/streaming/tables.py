@@ -82,21 +82,21 @@ def stream_events(df: DataFrame, time: str, late: str, length: str, groups: list
 
 
 class OrphanStream:
-    """Keeps orphan references up to date over micro-batches of references, with parents delivered in between."""
+    """Keeps orphan references up to date over micro-batches of references, with parents delivered in between.
 
-    def __init__(self, names: orphans.Names, no_parents: DataFrame):
-        self.names, self.state, self._waiting, self._nothing = names, None, None, no_parents
+    All of it is in the store's folder, so after a restart a stream on the same folder goes on, and a micro-batch or delivery
+    that comes again counts once.
+    """
 
-    def deliver_parents(self, parents: DataFrame) -> None:
-        """New parents, or new versions of parents; they are judged with the next references, or at once if some are known."""
-        self._waiting = parents if self._waiting is None else self._waiting.unionByName(parents)
-        if self.state is not None:
-            self.state = orphans.advance(self.state, self.state.references.drop("cause").limit(0), self._take(), self.names)
+    def __init__(self, store: orphans.OrphanStore):
+        self.store = store
+        self._no_refs = store.spark.createDataFrame([], store.refs)
+        self._no_parents = store.spark.createDataFrame([], store.parents)
 
-    def deliver(self, references: DataFrame, _batch: int = 0) -> None:
-        """New references; fits stream_chunks."""
-        self.state = orphans.advance(self.state, references, self._take(), self.names)
+    def deliver_parents(self, parents: DataFrame, number: int | None = None) -> bool:
+        """New parents, or new versions of parents. Their deliveries have numbers of their own."""
+        return self.store.deliver(self._no_refs, parents, number, "parents")
 
-    def _take(self) -> DataFrame:
-        taken, self._waiting = self._waiting if self._waiting is not None else self._nothing, None
-        return taken
+    def deliver(self, references: DataFrame, batch: int | None = None) -> bool:
+        """New references; fits stream_chunks."""
+        return self.store.deliver(references, self._no_parents, batch, "references")

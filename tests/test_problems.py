@@ -350,13 +350,36 @@ def test_orphans_against_a_plain_model(spark, hot):
     assert sorted(((r.k, r.cause) for r in got), key=repr) == plain_causes(refs, parents)
 
 
-def test_increments_reach_the_same_state(spark):
+def test_increments_reach_the_same_state(spark, tmp_path):
     refs, parents = random_links(12, 300)
     parents = list({(i, b): (i, b, e) for i, b, e in parents}.values())
-    state = None
+    store = orphans.OrphanStore(spark, str(tmp_path / "s"), NAMES, to_frame(spark, [], REFS).schema, to_frame(spark, [], PARENTS).schema, 4)
     for n in range(3):
-        state = orphans.advance(state, to_frame(spark, refs[n::3], REFS), to_frame(spark, parents[n::3], PARENTS), NAMES)
-    assert sorted(((r.k, r.cause) for r in state.references.collect()), key=repr) == plain_causes(refs, parents)
+        early = [(i, b, None) for i, b, e in parents[n::3] if e is not None]  # first without their end
+        store.deliver(to_frame(spark, refs[n::3], REFS), to_frame(spark, early, PARENTS))
+        store.deliver(to_frame(spark, [], REFS), to_frame(spark, parents[n::3], PARENTS))
+    waiting = [(k, c) for k, c in plain_causes(refs, parents) if c]
+    assert sorted(((r.k, r.cause) for r in store.waiting().collect()), key=repr) == waiting
+
+
+def test_a_delivery_writes_only_what_it_touches(spark, tmp_path):
+    day = lambda n: dt.datetime(2024, 1, n)
+    refs, parents = (lambda *r: to_frame(spark, r, REFS)), (lambda *r: to_frame(spark, r, PARENTS))
+    open_store = lambda: orphans.OrphanStore(spark, str(tmp_path / "s"), NAMES, refs().schema, parents().schema, 64)
+    store = open_store()
+    store.deliver(refs(*[(k, k, day(5)) for k in range(500)]), parents())
+    first = dict(store.log["waiting"])
+    assert len(first) == 64 and set(first.values()) == {1}
+    store.deliver(refs((1000, 7, day(6))), parents((7, day(1), day(6))))
+    changed = [b for b, n in store.log["waiting"].items() if n == 2]
+    assert len(changed) == 1 and {b for b, n in store.log["waiting"].items() if n == 1} == set(first) - set(changed)
+    in_bucket = spark.read.parquet(str(tmp_path / "s" / "waiting" / "1" / changed[0])).count()
+    assert spark.read.parquet(str(tmp_path / "s" / "waiting" / "2")).count() == in_bucket  # one resolved, one new
+    assert spark.read.parquet(str(tmp_path / "s" / "refs" / "2")).count() == spark.read.parquet(str(tmp_path / "s" / "parents" / "2")).count() == 1
+    # What a failed delivery left is not part of the state.
+    (tmp_path / "s" / "waiting" / "3").mkdir()
+    assert open_store().waiting().count() == store.waiting().count() == 500
+    assert {r.k: r.cause for r in store.waiting().where("ref = 7").collect()} == {1000: "deleted"}
 
 
 def test_orphans_edge_tables(spark):
