@@ -33,6 +33,22 @@ def p2_daily(spark: SparkSession, folder: str) -> DataFrame:
     return quantiles.percentiles(_daily(spark, folder), ["class", "load_day"], SHARES)
 
 
+def p2_true_ranks(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each stated bound of p2_percentiles holds in the data: the value's true ranks overlap the stated ones, and the
+    wanted rank is off by no more than the stated error, which is no more than ERROR of the rows (and one rank)."""
+    stated = p2_percentiles(spark, folder)
+    cars = table(spark, folder, "mpg").select(F.lower(F.trim("class")).alias("class"), F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("x")) for m in ("hwy", "cty")])).alias("e"))
+    counts = cars.select(F.col("class").alias("_class"), F.col("e.measure").alias("_measure"), F.col("e.x").alias("x")).where("x is not null").groupBy("_class", "_measure", "x").agg(F.count(F.lit(1)).alias("w"))
+    both = stated.join(counts, F.col("class").eqNullSafe(F.col("_class")) & (F.col("measure") == F.col("_measure")))
+    ranks = both.groupBy("class", "measure", "share", "value", "n", "rank_low", "rank_high", "rank_error").agg(
+        F.sum(F.when(F.col("x") < F.col("value"), F.col("w")).otherwise(0)).alias("below"), F.sum(F.when(F.col("x") <= F.col("value"), F.col("w")).otherwise(0)).alias("upto"), F.sum("w").alias("rows")
+    )
+    wanted = F.greatest(F.lit(1), F.ceil(F.col("share") * F.col("n") - 1e-9))
+    off = F.greatest(F.lit(0), F.col("below") + 1 - wanted, wanted - F.col("upto"))
+    holds = (F.col("rows") == F.col("n")) & (F.col("rank_low") <= F.col("upto")) & (F.col("rank_high") > F.col("below")) & (off <= F.col("rank_error")) & (F.col("rank_error") <= ERROR * F.col("n") + 1)
+    return ranks.select("class", "measure", "share", holds.alias("holds"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     cars = table(spark, folder, "mpg").select("manufacturer", "row_no", "hwy", "cty").where("manufacturer is not null and hwy is not null")
     order = [F.col("hwy").desc(), F.col("cty").desc_nulls_last(), F.col("row_no").asc()]
@@ -68,6 +84,18 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixed(spark, folder)[1]
 
 
+def p8_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the mixture keeps its promises, for each source: its share is met within one document unless it has no
+    tokens, no document is used more often than it may be, and the running tokens are those of the uses."""
+    mixture, report = _mixed(spark, folder)
+    uses = mixture.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("uses")).groupBy("source").agg(F.max("uses").alias("most"))
+    whole = mixture.agg(F.sum("n_tokens").alias("tokens"), F.max("running_tokens").alias("upto"), F.max("n_tokens").alias("largest"))
+    some = report.where("available_tokens > 0").agg(F.sum("target_share").alias("shares"))
+    facts = report.join(uses, "source", "left").crossJoin(whole).crossJoin(some)  # one row each
+    met = F.abs(F.col("mixed_tokens") - F.col("target_share") / F.col("shares") * F.col("tokens")) <= F.col("largest")
+    return facts.select("source", F.when(F.col("available_tokens") == 0, F.col("mixed_tokens") == 0).otherwise(met & (F.col("most") <= F.col("max_repeats"))).alias("kept"), (F.col("tokens") == F.col("upto")).alias("sums"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     measured = repetition.repeated_share(table(spark, folder, "documents").select("doc_id", "text"), "text", 30)
     return measured.where("kept_chars > 0 and repeated_chars * 5 >= kept_chars * 2").select("doc_id").distinct()
@@ -85,7 +113,7 @@ def p9_fertility(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p2_percentiles, p2_daily, p4_found, p7_ids, p7_joined, p8_mixture, p8_records, p8_shares, p9_found, p9_share, p9_fertility)
+    f.__name__: f for f in (p2_percentiles, p2_daily, p2_true_ranks, p4_found, p7_ids, p7_joined, p8_mixture, p8_records, p8_shares, p8_kept, p9_found, p9_share, p9_fertility)
 }
 
 _SHARE_SQL = r"""
@@ -98,6 +126,9 @@ from kept left join covered using (doc_id)
 """
 
 ORACLES: dict[str, str] = {
+    "p2_true_ranks": """select class, measure, share, true as holds from (select distinct lower(trim(class, ' ')) as class, measure from mpg,
+  (values ('hwy'), ('cty')) m(measure) where case when measure = 'hwy' then hwy else cty end is not null), (values (0.5::double), (0.9::double), (0.99::double)) s(share)""",
+    "p8_kept": "select source, true as kept, true as sums from mix_targets where source is not null and target_share > 0 and max_repeats > 0",
     "p9_share": _SHARE_SQL,
     "p9_found": f"select distinct doc_id from ({_SHARE_SQL}) where kept_chars > 0 and repeated_chars * 5 >= kept_chars * 2",
     "p4_found": """
