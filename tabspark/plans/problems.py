@@ -216,7 +216,102 @@ union all select feed_no, load_no, column_name, 'distribution' from pairs where
 union all select feed_no, load_no, 'well_status', 'distribution' from apart
 """
 
+_FIELDS_SQL = r"""
+with recursive texts as (select raw_id, file_name, case when record like '%' || chr(13) then left(record, length(record) - 1) else coalesce(record, '') end as t from raw_records),
+walk as (
+  select raw_id, file_name, 0 as n, null::varchar as field, false as quoted, t as rest, false as broken from texts
+  union all
+  select raw_id, file_name, n + 1,
+    case when not opens then trim(case when comma > 0 then left(rest, comma - 1) else rest end, ' ') when close > 0 then substr(rest, 2, close - 1) else substr(rest, 2, length(rest) - 2) end,
+    opens,
+    case when not opens then case when comma > 0 then substr(rest, comma + 1) end when close > 0 then substr(rest, close + 3) end,
+    case when opens then close = 0 and not (length(rest) > 1 and rest like '%"') else contains(case when comma > 0 then left(rest, comma - 1) else rest end, '"') end
+  from (select *, rest like '"%' as opens, strpos(rest, ',') as comma, case when rest like '"%' then strpos(substr(rest, 2), '",') else 0 end as close from walk where rest is not null and not broken)),
+fields as (select * from walk where n > 0),
+wanted as (select file_name, count(*) as columns from raw_columns group by file_name),
+records as (
+  select f.raw_id, f.file_name, bool_or(f.broken) as broken, max(f.n) as fields, any_value(w.columns) as columns
+  from fields f join wanted w using (file_name) group by f.raw_id, f.file_name),
+values_ as (
+  select f.raw_id, c.col_no, c.col_name, f.field, f.quoted,
+    f.field not in ('', 'NA') and ((c.col_type = 'int' and not regexp_full_match(f.field, '-?[0-9]+(\.0)?'))
+      or (c.col_type = 'double' and not regexp_full_match(replace(f.field, ',', ''), '-?[0-9]+(\.[0-9]+)?'))) as bad
+  from fields f join raw_columns c on c.file_name = f.file_name and c.col_no = f.n),
+judged as (
+  select raw_id, file_name, case when broken then 'quoting' when fields <> columns then 'column_count' when exists (select 1 from values_ v where v.raw_id = r.raw_id and v.bad) then 'bad_value' end as reason
+  from records r)
+"""
+
+
+def _valid_sql(file: str, columns: list[tuple[str, str]]) -> str:
+    """The columns of TESTDATA.md's file, by name and type, of its valid records."""
+    text = lambda n: f"max(case when col_no = {n} then case when quoted then replace(field, '\"\"', '\"') else field end end)"
+    cell = {
+        "text": text,
+        "int": lambda n: f"try_cast(regexp_replace(nullif(nullif({text(n)}, ''), 'NA'), '\\.0$', '') as bigint)",
+        "double": lambda n: f"try_cast(replace(nullif(nullif({text(n)}, ''), 'NA'), ',', '') as double)",
+    }
+    cells = ", ".join(f'{cell[kind](n)} as "{name}"' for n, (name, kind) in enumerate(columns, 1))
+    return f"{_FIELDS_SQL} select raw_id, {cells} from values_ join judged using (raw_id) where reason is null and file_name = '{file}' group by raw_id"
+
+
+def _instants_sql() -> str:
+    zone = r"(?: ?([+-])([0-9]{2})(?::?([0-9]{2}))?| ?([A-Za-z][A-Za-z0-9_+-]*(?:/[A-Za-z0-9_+-]+)*)|\[([^\]]+)\])?"
+    tail = ["sg", "oh", "om", "zn", "br"]
+    clock = r"(?: ([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?"
+    half = r"(?: ([AaPp][Mm]))?"
+    read = [  # a pattern and the parts that its groups are
+        (r"([0-9]{4})-([0-9]{2})-([0-9]{2})(?:[T ]([0-9]{2}):([0-9]{2})(?::([0-9]{2})(?:[.,]([0-9]{1,9}))?)?" + zone + ")?", ["y", "mo", "d", "h", "mi", "se", "fr", *tail]),
+        (r"([0-9]{4})([0-9]{2})([0-9]{2})T([0-9]{2})([0-9]{2})([0-9]{2})" + zone, ["y", "mo", "d", "h", "mi", "se", *tail]),
+        (r"([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})" + clock + half + zone + ")?", ["mo", "d", "y", "h", "mi", "se", "ap", *tail]),
+        (r"([0-9]{1,2})\.([0-9]{1,2})\.([0-9]{4})" + clock + zone + ")?", ["d", "mo", "y", "h", "mi", "se", *tail]),
+        (r"(?:([A-Za-z]{3,9}), )?([0-9]{1,2}) ([A-Za-z]{3,9}) ([0-9]{4})" + clock + zone + ")?", ["wd", "d", "nm", "y", "h", "mi", "se", *tail]),
+        (r"([A-Za-z]{3,9}) ([0-9]{1,2}), ([0-9]{4})" + clock + half + zone + ")?", ["nm", "d", "y", "h", "mi", "se", "ap", *tail]),
+    ]
+    parts = ["y", "mo", "d", "h", "mi", "se", "fr", "ap", "wd", "nm", *tail]
+    union = " union all ".join(
+        f"select id, z, {', '.join(f'm.{p}' if p in own else f'null as {p}' for p in parts)} from (select id, z, regexp_extract(s, '^(?:{form})$', {own}) as m from t where regexp_full_match(s, '{form}'))" for form, own in read
+    )
+    abbreviations = ", ".join(f"('{name}', {minutes})" for name, minutes in timestamps.ABBREVIATIONS.items())
+    return f"""
+with t as (select id, trim(signup_date, ' ') as s, coalesce(zone, 'America/Chicago') as z from users),
+parts as ({union}),
+filled as (select id, z, {", ".join(f"nullif({p}, '') as {p}" for p in parts)} from parts),
+clocked as (select *, cast(y as bigint) as year, coalesce(cast(mo as bigint), case when lower(nm) in (select lower(monthname(make_date(2000, i, 1))) from range(1, 13) r(i)) or lower(nm) in (select lower(left(monthname(make_date(2000, i, 1)), 3)) from range(1, 13) r(i))
+    then list_position(['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec'], lower(left(nm, 3))) end) as month,
+  case when ap is null then coalesce(cast(h as bigint), 0) when cast(h as bigint) between 1 and 12 then cast(h as bigint) % 12 + case when lower(ap) = 'pm' then 12 else 0 end else 99 end as hour from filled),
+walls as (select *, try(make_timestamp(year, month, cast(d as bigint), hour, coalesce(cast(mi as bigint), 0), cast(coalesce(cast(se as bigint), 0) as double))) as wall,
+  cast(rpad(left(coalesce(fr, '0'), 6), 6, '0') as bigint) as micro from clocked where hour <= 23 and coalesce(cast(mi as bigint), 0) <= 59 and coalesce(cast(se as bigint), 0) <= 59 and year > 0),
+dated as (select w.*, a.minutes from walls w left join (values {abbreviations}) a(name, minutes) on a.name = upper(coalesce(zn, br)) where wall is not null
+  and (wd is null or lower(wd) in (lower(dayname(wall)), lower(left(dayname(wall), 3)))) and (sg is null or cast(oh as bigint) <= 18 and coalesce(cast(om as bigint), 0) <= 59)),
+offset_known as (select id, epoch_us(wall) + micro - 60000000 * case when sg is not null then (case when sg = '-' then -1 else 1 end) * (cast(oh as bigint) * 60 + coalesce(cast(om as bigint), 0)) else minutes end as us
+  from dated where sg is not null or minutes is not null),
+placed as (select id, wall, micro, coalesce(zn, br, z) as place from dated where sg is null and minutes is null and coalesce(zn, br, z) in (select name from pg_timezone_names())),
+guessed as (select *, timezone(place, wall) as u from placed),
+fitting as (select id, wall, micro, place, timezone('UTC', u) + to_minutes(k) as utc from guessed, (values (0), (30), (60), (120), (-30), (-60), (-120)) m(k) where timezone(place, u + to_minutes(k)) = wall),
+zoned as (select id, epoch_us(any_value(utc)) + any_value(micro) as us from fitting group by id, wall, micro, place having count(distinct utc) = 1),
+epochs as (select id, cast(s as bigint) * case when length(s) = 10 then 1000000 else 1000 end as us from t where regexp_full_match(s, '[0-9]{{10}}|[0-9]{{13}}'))
+select distinct id, us as epoch_us from (select * from offset_known union all select * from zoned union all select * from epochs)
+"""
+
+
+# The columns of issue114.csv that are no text, and the others, in their order.
+ISSUE114_NUMBERS = {"line_id": "int", "report_month": "int", "report_year": "int", "prod_days": "int", "oil_vol": "double", "gas_vol": "double", "operator_num": "int"}
+ISSUE114 = (
+    "line_id report_month report_year ST api_county_code api_seq_num sidetrack_num formation_code well_status prod_days water_disp_code water_vol "
+    "water_press_tbg water_press_csg bom_invent oil_vol oil_sales adjustment eom_invent gravity_sales gas_sales flared gas_vol shrink gas_prod btu_sales "
+    "gas_press_tbg gas_press_csg operator_num name facility_name facility_num accepted_date revised"
+).split()
+
+
 ORACLES: dict[str, str] = {
+    "p3_found": _instants_sql(),
+    "p5_found": f"{_FIELDS_SQL} select raw_id, reason from judged where reason is not null",
+    "p5_multiline": _valid_sql("multiline.csv", [("RowNum", "int"), ("Description", "text"), ("X", "int"), ("Y", "int")]),
+    "p5_prestige": _valid_sql(
+        "prestige.csv", [("job", "text"), ("education", "double"), ("income", "int"), ("women", "double"), ("prestige", "double"), ("census", "int"), ("type", "text")]
+    ),
+    "p5_issue114": _valid_sql("issue114.csv", [(c, ISSUE114_NUMBERS.get(c, "text")) for c in ISSUE114]),
     "p1_found": _CHANGES_SQL,
     "p1_profile": _profile_sql(),
     "p6_found": f"select distinct * from ({_ORPHAN_SQL})",
