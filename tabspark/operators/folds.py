@@ -95,7 +95,7 @@ def fold_batches(df: DataFrame, zero: Callable[[], object], step: Callable[[obje
             state = merge(state, pickle.loads(blob))  # noqa: S301  written above
         return pa.table({"state": pa.array([pickle.dumps(state)], pa.binary())})
 
-    states = df.mapInArrow(partition, "state binary").withColumn("branch", F.pmod(F.xxhash64("state"), F.lit(BRANCHES)))
+    states = df.mapInArrow(partition, "state binary").withColumn("branch", F.spark_partition_id() % BRANCHES)
     result = zero()
     for row in states.groupBy("branch").applyInArrow(branch, "state binary").collect():
         result = merge(result, pickle.loads(bytes(row.state)))  # noqa: S301

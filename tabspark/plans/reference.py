@@ -177,26 +177,38 @@ def missing_count_mean(spark: SparkSession, folder: str) -> DataFrame:
 # --- joins
 
 
-def _customers(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    left = C.project(table(spark, folder, "customer"), "c_name", "c_nationkey", "c_custkey").filter(F.col("c_nationkey") < 20)
-    right = table(spark, folder, "nation").select(F.col("n_name"), F.col("n_nationkey").alias("c_nationkey"), "n_regionkey").filter(F.col("c_nationkey") > 3)
-    return left, right
+def _orders_and_customers(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Whole tables; some customers have no order."""
+    orders = table(spark, folder, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"), "o_totalprice")
+    return orders, C.project(table(spark, folder, "customer"), "c_name", "c_custkey")
 
 
-_CUSTOMERS = """(select c_name, c_nationkey, c_custkey from customer where c_nationkey < 20) l {how} join
-  (select n_name, n_nationkey as c_nationkey, n_regionkey from nation where n_nationkey > 3) r using (c_nationkey)"""
+_CUSTOMERS = "(select c_name, c_custkey from customer)"
+_BOUGHT = "(select o_orderkey, o_custkey as c_custkey, o_totalprice from orders)"
 
 
-def _join_query(name: str, how: str, function: Callable[..., DataFrame]) -> None:
-    def run(spark: SparkSession, folder: str) -> DataFrame:
-        return function(*_customers(spark, folder), "c_nationkey")
+@query(f"select o_orderkey, c_custkey, o_totalprice, c_name from {_BOUGHT} join {_CUSTOMERS} using (c_custkey)")
+def inner_join(spark: SparkSession, folder: str) -> DataFrame:
+    orders, customers = _orders_and_customers(spark, folder)
+    return joins.inner_join(orders, customers, "c_custkey")
 
-    QUERIES[name] = run
-    ORACLES[name] = f"select c_name, c_nationkey, c_custkey, n_name, n_regionkey from {_CUSTOMERS.format(how=how)}"
 
+@query(f"select c_name, c_custkey, o_orderkey, o_totalprice from {_CUSTOMERS} left join {_BOUGHT} using (c_custkey)")
+def left_join(spark: SparkSession, folder: str) -> DataFrame:
+    orders, customers = _orders_and_customers(spark, folder)
+    return joins.left_join(customers, orders, "c_custkey")
 
-for _name, _how, _function in (("inner_join", "inner", joins.inner_join), ("left_join", "left", joins.left_join), ("right_join", "right", joins.right_join), ("outer_join", "full", joins.outer_join)):
-    _join_query(_name, _how, _function)
+
+@query(f"select o_orderkey, c_custkey, o_totalprice, c_name from {_BOUGHT} right join {_CUSTOMERS} using (c_custkey)")
+def right_join(spark: SparkSession, folder: str) -> DataFrame:
+    orders, customers = _orders_and_customers(spark, folder)
+    return joins.right_join(orders, customers, "c_custkey")
+
+
+@query(f"select o_orderkey, c_custkey, o_totalprice, c_name from {_BOUGHT} full join {_CUSTOMERS} using (c_custkey)")
+def outer_join(spark: SparkSession, folder: str) -> DataFrame:
+    orders, customers = _orders_and_customers(spark, folder)
+    return joins.outer_join(orders, customers, "c_custkey")
 
 
 @query("select l_orderkey, l_quantity, o_custkey, o_totalprice from lineitem join orders on l_orderkey = o_orderkey")
@@ -205,18 +217,9 @@ def inner_join_large(spark: SparkSession, folder: str) -> DataFrame:
     return joins.inner_join(C.project(table(spark, folder, "lineitem"), "l_orderkey", "l_quantity"), orders, "l_orderkey")
 
 
-@query("""select l_partkey, l_suppkey, a.l_orderkey, b.other_quantity from (select l_partkey, l_suppkey, l_orderkey from lineitem where l_linenumber = 1) a
-  join (select l_partkey, l_suppkey, l_quantity as other_quantity from lineitem where l_linenumber = 2) b using (l_partkey, l_suppkey)""")
-def inner_join_multikey(spark: SparkSession, folder: str) -> DataFrame:
-    lines = table(spark, folder, "lineitem")
-    a = C.project(lines.filter("l_linenumber = 1"), "l_partkey", "l_suppkey", "l_orderkey")
-    b = lines.filter("l_linenumber = 2").select("l_partkey", "l_suppkey", F.col("l_quantity").alias("other_quantity"))
-    return joins.inner_join(a, b, "l_partkey", "l_suppkey")
-
-
 @query("""select l_partkey, l_suppkey, a.l_orderkey, a.l_linenumber, b.other_orderkey, b.other_quantity from lineitem a
   join (select l_partkey, l_suppkey, l_orderkey as other_orderkey, l_quantity as other_quantity from lineitem) b using (l_partkey, l_suppkey)""")
-def inner_join_multikey_large(spark: SparkSession, folder: str) -> DataFrame:
+def inner_join_multikey(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "lineitem")
     others = lines.select("l_partkey", "l_suppkey", F.col("l_orderkey").alias("other_orderkey"), F.col("l_quantity").alias("other_quantity"))
     return joins.inner_join(C.project(lines, "l_partkey", "l_suppkey", "l_orderkey", "l_linenumber"), others, "l_partkey", "l_suppkey")
