@@ -94,24 +94,24 @@ def p5_valid(name: str) -> Query:
     return query
 
 
-def _orphans(spark: SparkSession, folder: str) -> orphans.OrphanStore:
-    """The store after employees and managers have come year by year, as they did: a manager's row comes in the year it
-    begins, with no end if that is later, and again in the year it ends. Employees without a time come first.
+def _orphans(spark: SparkSession, folder: str, years: int = 3) -> orphans.OrphanStore:
+    """The store after employees and managers have come in deliveries of some ``years`` each, as they did: a manager's row
+    comes when it begins, with no end if that is later, and again when it ends. Employees without a time come first.
     """
     refs = table(spark, folder, "employees").select("id", "manager_id", "entered_at")
     parents = table(spark, folder, "managers").select("id", "created_at", "deleted_at")
     store = orphans.OrphanStore(spark, temporary_folder("orphans", spark), LINKS, refs.schema, parents.schema, 8)
-    span = lambda df, *columns: df.select(F.explode(F.array(*[F.year(c) for c in columns])).alias("y")).agg(F.min("y").alias("a"), F.max("y").alias("b")).first()
-    ends = [span(refs, "entered_at"), span(parents, "created_at", "deleted_at")]
-    first = min((e.a for e in ends if e.a is not None), default=0)
-    came = F.coalesce(F.year("created_at"), F.lit(first))
+    times = refs.select(F.col("entered_at").alias("t")).union(parents.select(F.explode(F.array("created_at", "deleted_at"))))
+    span = times.agg(F.min(F.year("t")).alias("first"), F.max(F.year("t")).alias("last")).first()
+    first, last = (span.first, span.last) if span.first is not None else (0, 0)
+    period = lambda c: F.floor((F.year(c) - first) / years)
+    came, entered = F.coalesce(period("created_at"), F.lit(0)), F.coalesce(period("entered_at"), F.lit(0))
     # All rows of a key and beginning come again when one of them changes, so that they stand side by side.
-    events = parents.select(F.col("id").alias("_k"), F.col("created_at").alias("_b"), F.explode(F.array(came, F.year("deleted_at"))).alias("_y")).distinct()
+    events = parents.select(F.col("id").alias("_k"), F.col("created_at").alias("_b"), F.explode(F.array(came, period("deleted_at"))).alias("_p")).distinct()
     same = F.col("id").eqNullSafe(F.col("_k")) & F.col("created_at").eqNullSafe(F.col("_b"))
-    for year in range(first, max((e.b for e in ends if e.b is not None), default=0) + 1):
-        known = parents.where(came <= year).withColumn("deleted_at", F.when(F.year("deleted_at") <= year, F.col("deleted_at")))
-        new_parents = known.join(events.where(F.col("_y") == year), same, "left_semi")
-        store.deliver(refs.where(F.coalesce(F.year("entered_at"), F.lit(first)) == year), new_parents, year)
+    for number in range((last - first) // years + 1):
+        known = parents.where(came <= number).withColumn("deleted_at", F.when(period("deleted_at") <= number, F.col("deleted_at")))
+        store.deliver(refs.where(entered == number), known.join(events.where(F.col("_p") == number), same, "left_semi"), number)
     return store
 
 
