@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabspark.session import cut_lineage
+
 FINE = 2.0**32
 
 
@@ -60,10 +62,11 @@ def exact_medians(values: DataFrame, keys: list[str], value: str, weight: str, s
 
     first = holding(rows.groupBy(*keys, "_c1").agg(F.sum("_w").alias("_w")), "_c1", keys, None).select(*keys, "_c1", "_wanted")
     at = [*keys, "_c1"]
-    narrowed = salted_join(rows, first, at, F.col("_x"), salts)
+    # Written once: only these few rows, those of the cells that hold the ranks, are read again.
+    narrowed = cut_lineage(salted_join(rows, first, at, F.col("_x"), salts))
     second = holding(narrowed.groupBy(*at, "_c2", "_wanted").agg(F.sum("_w").alias("_w")), "_c2", at, first).select(*at, "_c2", "_wanted")
     at = [*at, "_c2"]
-    narrowed = salted_join(rows, second, at, F.col("_x"), salts)
+    narrowed = salted_join(narrowed.drop("_wanted"), second, at, F.col("_x"), salts)
     third = holding(narrowed.groupBy(*at, "_x", "_wanted").agg(F.sum("_w").alias("_w")), "_x", at, second)
     picked = third.select(*keys, F.explode("_wanted"), F.col("_x"))
     return picked.groupBy(*keys).agg(F.avg("_x").alias("median"))
